@@ -1,0 +1,55 @@
+"""Exact quantiles of columns of any size."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def exact_quantile(df: DataFrame, column: str, q: float, limit: int = 100_000) -> float | None:
+    """The linearly interpolated ``q`` quantile, without a global sort.
+
+    The built-in exact percentile keeps all distinct values in one buffer.
+    Here the interval that holds the two order statistics is narrowed by
+    approximate quantiles, whose only influence is on the number of passes,
+    until at most ``limit`` values remain in it.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    position = q * (n - 1)
+    first = math.floor(position)
+    second = min(first + 1, n - 1)
+    below, inside = 0, n
+    while inside > limit and low < high:
+        # Aim a little to both sides of the wanted ranks inside [low, high].
+        part = values.filter(F.col("v").between(low, high))
+        left = max(0.0, (first - below) / inside - 0.01)
+        right = min(1.0, (second - below + 1) / inside + 0.01)
+        new_low, new_high = part.agg(F.percentile_approx("v", [left, right], 10_000)).first()[0]
+        under, within = values.agg(
+            F.count_if(F.col("v") < new_low), F.count_if(F.col("v").between(new_low, new_high))
+        ).first()
+        if not under <= first <= second < under + within or within == inside:
+            # The guess missed or gained nothing: halve the interval by value.
+            middle = low + (high - low) / 2
+            up_to, next_value = values.agg(
+                F.count_if(F.col("v") <= middle), F.min(F.when(F.col("v") > middle, F.col("v")))
+            ).first()
+            if first < up_to <= second:
+                # The two order statistics lie on both sides of the middle.
+                a = values.agg(F.max(F.when(F.col("v") <= middle, F.col("v")))).first()[0]
+                return a + (position - first) * (next_value - a)
+            if second < up_to:
+                new_low, new_high, under, within = low, middle, below, up_to - below
+            else:
+                new_low, new_high, under, within = next_value, high, up_to, below + inside - up_to
+        low, high, below, inside = new_low, new_high, under, within
+    if low == high:
+        return low
+    rest = sorted(r[0] for r in values.filter(F.col("v").between(low, high)).collect())
+    a, b = rest[first - below], rest[second - below]
+    return a + (position - first) * (b - a)

@@ -1,0 +1,28 @@
+"""Joins that survive very frequent keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 4096
+
+
+def join_on_frequent_key(fact: DataFrame, dim: DataFrame, key: str, frequency: str, hot_keys: int = 10_000) -> DataFrame:
+    """Inner join of ``fact`` with ``dim``, which has one row per key and its row count in ``fact``.
+
+    Keys holding more than one part in ``hot_keys`` of all rows are met by
+    broadcast. There are fewer than ``hot_keys`` of them, because their counts
+    would otherwise exceed the total. All other keys are met by shuffle, where
+    rows of hot keys only pass through, spread by a salt; so no task receives
+    more than its share.
+    """
+    values = [c for c in dim.columns if c != key]
+    limit = dim.agg(F.sum(frequency) / hot_keys).scalar()
+    hot = dim.filter(F.col(frequency) > limit).select(key, F.struct(*values).alias("_hot"))
+    cold = dim.filter(F.col(frequency) <= limit).select(key, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int") + 1
+    marked = fact.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(spread))
+    joined = marked.join(cold, [key, "_salt"], "left")
+    met = F.coalesce("_hot", "_cold")
+    return joined.filter(met.isNotNull()).select(*fact.columns, *[met[c].alias(c) for c in values])
