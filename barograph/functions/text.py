@@ -17,11 +17,10 @@ from barograph.schemas import TYPE_PHRASES
 # The patterns of the entity extraction.
 _NAME = r"[A-Z][a-z]+"
 _PLACE = r"(?:County|Parish|Borough)"
-LOCATION_PATTERNS = [
-    rf"in\s+({_NAME}\s*{_PLACE})",
-    rf"for\s+({_NAME}\s*{_PLACE})",
-    rf"({_NAME}(?:\s+{_NAME})*\s+{_PLACE})",
-]
+LOCATION_PATTERNS = [rf"in\s+({_NAME}\s*{_PLACE})", rf"for\s+({_NAME}\s*{_PLACE})"]
+# The third pattern is a run of names before a place word; see ``locations``.
+_NAME_RUN = r"(?U)(?<![a-zA-Z])[a-zA-Z]{2,}+(?:\s++[a-zA-Z]{2,}+)*+"
+_UP_TO_PLACE = rf"(?isU)^(.*\s{_PLACE})"
 MEASUREMENT_PATTERN = r"(\d+(?:\.\d+)?)\s*(mph|inches|in|feet|ft|°F|°C|degrees|percent|%)"
 UNTIL_PATTERN = r"until\s+(\d{1,2}:\d{2}\s*(?:AM|PM|am|pm))"
 FROM_TO_PATTERN = r"from\s+(\d{1,2}:\d{2})\s*to\s*(\d{1,2}:\d{2})"
@@ -135,9 +134,19 @@ def _find(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def locations(text: Column) -> Column:
-    """Distinct county, parish and borough names, sorted."""
+    """Distinct county, parish and borough names, sorted.
+
+    Case is ignored, so the pattern "names, then a place word" takes in all
+    words before the place. As one backtracking pattern it would be quadratic
+    and deeply recursive on long texts. It is evaluated in two linear steps
+    with the same result: cut out the runs of words, then keep each run up to
+    its last place word.
+    """
     found = [_find(text, _UNICODE_NOCASE + p) for p in LOCATION_PATTERNS]
-    return F.sort_array(F.array_distinct(F.concat(*found)))
+    runs = F.filter(_find(text, _NAME_RUN, 0), lambda run: run.rlike(_UP_TO_PLACE))
+    found.append(F.transform(runs, lambda run: F.regexp_extract(run, _UP_TO_PLACE, 1)))
+    names = F.sort_array(F.array_distinct(F.concat(*found)))
+    return F.when(text.rlike("(?i)" + _PLACE), names).otherwise(F.array().cast("array<string>"))
 
 
 def measurements(text: Column) -> Column:

@@ -27,7 +27,7 @@ def quoted(words) -> str:
 
 EVENT_ALERTS = """alerts AS (
   SELECT event_id AS alert_id, ts AS issued_date, CAST(ts AS DATE) AS day, event_type AS type,
-         'region_' || (user_id % 8) AS region, least(value / 500.0, 1.0) AS severity_score
+         'region_' || (user_id % 8) AS region, least(value / 491.0, 1.0) AS severity_score
   FROM events)"""
 
 DOCUMENT_ALERTS = """alerts AS (
@@ -256,7 +256,7 @@ SELECT type, region, {day()} AS issued_date, total_alerts, {r('severity_score')}
     sql["type_region_subtotals"] = f"""WITH {EVENT_ALERTS}
 SELECT type, region, count(*) AS total_alerts, CAST(grouping(type, region) AS BIGINT) AS level FROM alerts GROUP BY CUBE (type, region)"""
     sql["gap_filled_orders"] = f"{order_daily} SELECT {day()} AS issued_date, total_alerts FROM series"
-    sql["shipping_daily"] = f"""WITH lines AS (SELECT CAST(l_shipdate AS DATE) AS day, l_returnflag AS type, l_discount AS severity_score FROM lineitem),
+    sql["shipping_daily"] = f"""WITH lines AS (SELECT CAST(l_shipdate AS DATE) AS day, l_returnflag AS type, l_discount / 0.11 AS severity_score FROM lineitem),
 {daily_of('lines', [], ['A', 'N', 'R'])}
 SELECT {day()} AS issued_date, total_alerts, {r('severity_score')} AS severity_score, A, N, R, {trends([])} FROM series"""
 

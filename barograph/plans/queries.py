@@ -78,7 +78,9 @@ def gap_filled_orders(spark, sf):
 @query
 def shipping_daily(spark, sf):
     lines = read(spark, sf, "lineitem").select(
-        F.col("l_shipdate").alias("issued_date"), F.col("l_returnflag").alias("type"), F.col("l_discount").alias("severity_score")
+        F.col("l_shipdate").alias("issued_date"),
+        F.col("l_returnflag").alias("type"),
+        (F.col("l_discount") / 0.11).alias("severity_score"),
     )
     return daily.daily_series(lines, (), ["A", "N", "R"], id_col=None)
 

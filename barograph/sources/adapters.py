@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barograph.operators.daily import daily_series, fill_days
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-SEVERITY_SCALE = 500.0
+SEVERITY_SCALE = 491.0
 SEVERITIES = ["Extreme", "Severe", "Moderate", "Minor", "Unknown"]
 
 
