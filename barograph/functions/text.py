@@ -7,6 +7,8 @@ and nothing shuffles, however long or repeated the texts are.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,11 +49,15 @@ def build_text(parts: Sequence[Column]) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Lower case, links removed, letters and ``. , ! ?`` kept, single spaces."""
+    """Lower case, links removed, letters and ``. , ! ?`` kept, single spaces.
+
+    Dropping other characters and collapsing white space are one replacement,
+    and the search for links runs only over texts that can hold one.
+    """
     lowered = F.lower(F.coalesce(text, F.lit("")))
     no_links = F.regexp_replace(lowered, _UNICODE + r"https?://\S+|www\.\S+", "")
-    letters = F.regexp_replace(no_links, r"[^a-zA-Z\s.,!?]", " ")
-    return F.trim(F.regexp_replace(letters, r"\s+", " "))
+    unlinked = F.when(lowered.contains("://") | lowered.contains("www."), no_links).otherwise(lowered)
+    return F.trim(F.regexp_replace(unlinked, r"[^a-z.,!?]+", " "))
 
 
 def words(cleaned: Column) -> Column:
@@ -195,7 +201,7 @@ def text_metrics(text: Column, urgency_words: Sequence[str] = URGENCY_WORDS) ->
         "sentence_count": F.regexp_count(present, F.lit(_UNICODE + r"[^.\s\x1c-\x1f][^.]*")).cast("long"),
         "avg_word_length": F.coalesce(F.try_divide(n_letters.cast("double"), n_words), F.lit(0.0)),
         "exclamation_count": F.regexp_count(present, F.lit("!")).cast("long"),
-        "all_caps_count": F.regexp_count(present, F.lit(_UNICODE + r"\b[A-Z]{2,}\b")).cast("long"),
+        "all_caps_count": F.regexp_count(present, F.lit(_UNICODE + r"\b[A-Z]{2,}+\b")).cast("long"),
         "urgency_keywords": urgency,
         "numeric_count": F.regexp_count(present, F.lit(_UNICODE + r"\b\d+\b")).cast("long"),
     }
@@ -212,10 +218,15 @@ def classify(
     Phrases match anywhere ("ice" matches "notice"); ``word_boundary=True``
     asks for whole words instead.
     """
-    lowered = F.lower(F.coalesce(title, F.lit("")))
-    chain = None
-    for name, options in phrases.items():
-        pattern = "|".join(options)
-        hit = lowered.rlike(rf"\b(?:{pattern})\b" if word_boundary else pattern)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return F.lit(default) if chain is None else chain.otherwise(default)
+
+    def first_match(lowered: Column) -> Column:
+        chain = None
+        for name, options in phrases.items():
+            if word_boundary:
+                hit = lowered.rlike(rf"\b(?:{'|'.join(options)})\b")
+            else:
+                hit = reduce(or_, [lowered.contains(o) for o in options])
+            chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+        return F.lit(default) if chain is None else chain.otherwise(default)
+
+    return let(F.lower(F.coalesce(title, F.lit(""))), first_match)

@@ -36,7 +36,7 @@ MIN_ROWS = 50
 Z_95 = 1.96
 
 # Settings that train in seconds; REFERENCE_PARAMS asks for many small steps.
-FAST_PARAMS = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+FAST_PARAMS = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 REFERENCE_PARAMS = {**FAST_PARAMS, "maxIter": 500, "maxDepth": 6, "stepSize": 0.01}
 REFERENCE_CV_PARAMS = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.01, "seed": 42}
 
@@ -140,16 +140,17 @@ class ForecastModel:
         """
         by = [*self.keys, "target"]
         state = latest_state(long_series(daily, list(self.models), self.keys, day), self.keys)
+        vector, following = _state_vector().alias("features"), _advance(F.col("prediction"))
         parts = []
         for target, model in self.models.items():
             rows = state.filter(F.col("target") == target)
             for step in range(1, horizon + 1):
-                rows = model.transform(rows.withColumn("features", _state_vector())).drop("features")
+                rows = model.transform(rows.select("*", vector)).drop("features")
                 rows = rows.withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
                 rows = rows.withColumn(f"_step_{step}", F.col("prediction")).select(
                     *by,
                     *[f"_step_{i}" for i in range(1, step + 1)],
-                    *_advance(F.col("prediction")),
+                    *following,
                 )
             steps = F.array(*[F.col(f"_step_{i}") for i in range(1, horizon + 1)])
             first_day = F.date_sub("day", horizon)

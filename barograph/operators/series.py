@@ -121,31 +121,29 @@ def ema_features(
     number of rows.
     """
     order = series_window(keys, day)
-    numbered = df.withColumn("_row", F.row_number().over(order) - 1)
-    helper = ["_row"]
-    for alpha in alphas:
-        decay = 1 - alpha
-        block = max(2, math.ceil(-28 / math.log(decay)))
-        name = ema_name(alpha)
-        inside = F.col("_row") % block
-        block_id = F.floor(F.col("_row") / block)
-        scaled = F.col(value).cast("double") * F.pow(F.lit(1 / decay), inside)
-        in_block = Window.partitionBy(*keys, f"_block_{name}").orderBy(day)
-        running = F.sum(scaled).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
-        numbered = numbered.withColumn(f"_block_{name}", block_id).withColumn(
-            f"_local_{name}", running * F.pow(F.lit(decay), inside)
-        )
-        ended = F.when(inside == block - 1, F.col(f"_local_{name}"))
-        carried = F.last(ended, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        numbered = numbered.withColumn(f"_carry_{name}", F.coalesce(carried, F.lit(0.0)))
-        earlier = F.coalesce(F.lag(f"_carry_{name}", block).over(order), F.lit(0.0))
-        numerator = F.col(f"_local_{name}") + F.pow(F.lit(decay), inside + 1) * (
-            F.col(f"_carry_{name}") + F.lit(decay**block) * earlier
-        )
-        denominator = (1 - F.pow(F.lit(decay), F.col("_row") + 1)) / alpha
-        numbered = numbered.withColumn(name, numerator / denominator)
-        helper += [f"_block_{name}", f"_local_{name}", f"_carry_{name}"]
-    return numbered.drop(*helper)
+    out = df.withColumn("_row", F.row_number().over(order) - 1)
+    row, x = F.col("_row"), F.col(value).cast("double")
+    names = {alpha: ema_name(alpha) for alpha in alphas}
+    decays = {alpha: 1 - alpha for alpha in alphas}
+    blocks = {alpha: max(2, math.ceil(-28 / math.log(decays[alpha]))) for alpha in alphas}
+    out = out.select("*", *[F.floor(row / blocks[a]).alias(f"_block_{n}") for a, n in names.items()])
+    local = []
+    for a, n in names.items():
+        inside = Window.partitionBy(*keys, f"_block_{n}").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+        age = row % blocks[a]
+        running = F.sum(x * F.pow(F.lit(1 / decays[a]), age)).over(inside)
+        local.append((running * F.pow(F.lit(decays[a]), age)).alias(f"_local_{n}"))
+    out = out.select("*", *local)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ended = {n: F.when(row % blocks[a] == blocks[a] - 1, F.col(f"_local_{n}")) for a, n in names.items()}
+    out = out.select("*", *[F.coalesce(F.last(e, True).over(before), F.lit(0.0)).alias(f"_carry_{n}") for n, e in ended.items()])
+    smoothed = []
+    for a, n in names.items():
+        earlier = F.coalesce(F.lag(f"_carry_{n}", blocks[a]).over(order), F.lit(0.0))
+        carried = F.col(f"_carry_{n}") + F.lit(decays[a] ** blocks[a]) * earlier
+        numerator = F.col(f"_local_{n}") + F.pow(F.lit(decays[a]), row % blocks[a] + 1) * carried
+        smoothed.append((numerator * a / (1 - F.pow(F.lit(decays[a]), row + 1))).alias(n))
+    return out.select(*df.columns, *smoothed)
 
 
 def velocity(df: DataFrame, value: str = VALUE, keys: Sequence[str] = (), day: str = DAY) -> DataFrame:

@@ -18,11 +18,16 @@ def join_on_frequent_key(fact: DataFrame, dim: DataFrame, key: str, frequency: s
     more than its share.
     """
     values = [c for c in dim.columns if c != key]
-    limit = dim.agg(F.sum(frequency) / hot_keys).scalar()
-    hot = dim.filter(F.col(frequency) > limit).select(key, F.struct(*values).alias("_hot"))
-    cold = dim.filter(F.col(frequency) <= limit).select(key, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int") + 1
-    marked = fact.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(spread))
-    joined = marked.join(cold, [key, "_salt"], "left")
+    present = dim.filter(F.col(key).isNotNull())
+    limit = present.agg(F.sum(frequency) / hot_keys).scalar()
+    hot = present.filter(F.col(frequency) > limit).select(key, F.struct(*values).alias("_hot"))
+    name = F.col(key).cast("string")
+    cold = present.filter(F.col(frequency) <= limit).select(name.alias("_name"), F.struct(*values).alias("_cold"))
+    # The salt is part of the only join key: as a key of its own it would be a
+    # constant on one side, and the optimizer would drop it from the shuffle.
+    salt = F.concat(F.lit("\x01"), F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)))
+    marked = fact.join(F.broadcast(hot), key, "left").withColumn("_name", F.when(F.col("_hot").isNull(), name).otherwise(salt))
+    joined = marked.join(cold, "_name", "left")
+    # A hot row keeps its own values, whatever its salted name met.
     met = F.coalesce("_hot", "_cold")
     return joined.filter(met.isNotNull()).select(*fact.columns, *[met[c].alias(c) for c in values])

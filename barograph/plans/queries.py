@@ -16,7 +16,7 @@ from barograph.functions import display, severity, text, timeparts
 from barograph.operators import anomaly, daily, dedupe, enrich, filters, forecast, insights, keywords, series, stats
 from barograph.session import scratch_dir
 from barograph.sources import adapters, pages
-from barograph.sources.adapters import EVENT_TYPES, ORDER_TYPES, read
+from barograph.sources.adapters import EVENT_TYPES, ORDER_TYPES, read, read_texts
 from barograph.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,7 +252,7 @@ def metric_correlation(spark, sf):
 
 
 def _cleaned(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned_text"))
+    return read_texts(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("cleaned_text"))
 
 
 def _tokens() -> Column:
@@ -273,7 +273,7 @@ def clean_turns(spark, sf):
 @query
 def text_metrics(spark, sf):
     metrics = text.text_metrics(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in metrics.items()])
+    return read_texts(spark, sf).select("doc_id", *[c.alias(n) for n, c in metrics.items()])
 
 
 @query
@@ -288,7 +288,7 @@ def keyword_counts(spark, sf):
 
 @query
 def keyword_counts_by_source(spark, sf):
-    documents = read(spark, sf, "documents").select("source", text.clean_text(F.col("text")).alias("cleaned_text"))
+    documents = read_texts(spark, sf).select("source", text.clean_text(F.col("text")).alias("cleaned_text"))
     return stats.keyword_counts(documents, _tokens(), ["source"])
 
 
@@ -310,7 +310,7 @@ def topics(spark, sf):
 
 @query
 def entities(spark, sf):
-    found = read(spark, sf, "documents").select("doc_id", text.entities(F.col("text")).alias("e"))
+    found = read_texts(spark, sf).select("doc_id", text.entities(F.col("text")).alias("e"))
     pairs = F.transform("e.measurements", lambda m: F.concat_ws(" ", m["value"], m["unit"]))
     return found.select(
         "doc_id", F.col("e.locations").alias("locations"), pairs.alias("measurements"), F.col("e.time_references").alias("time_references")
@@ -319,12 +319,12 @@ def entities(spark, sf):
 
 @query
 def classify(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.classify(F.col("text")).alias("type"))
+    return read_texts(spark, sf).select("doc_id", text.classify(F.col("text")).alias("type"))
 
 
 @query
 def category(spark, sf):
-    typed = read(spark, sf, "documents").select(text.classify(F.col("text")).alias("type"))
+    typed = read_texts(spark, sf).select(text.classify(F.col("text")).alias("type"))
     return stats.value_counts(typed.select(severity.alert_category(F.col("type")).alias("alert_category")), "alert_category")
 
 
@@ -463,7 +463,7 @@ def range_region_filter(spark, sf):
 
 @query
 def page_sections(spark, sf):
-    found = pages.parse_pages(read(spark, sf, "pages"), class_pattern="ad", min_chars=20)
+    found = pages.parse_pages(read_texts(spark, sf, "pages", "page_id"), class_pattern="ad", min_chars=20)
     return found.select("page_id", "seq", "text", "link")
 
 

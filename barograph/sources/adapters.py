@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.operators.daily import daily_series, fill_days
+from barograph.sources.tables import spread_small
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SEVERITY_SCALE = 491.0
@@ -16,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table of long texts, spread over all cores where it is small."""
+    return spread_small(read(spark, sf_dir, name), key)
+
+
 def event_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as alerts: eight regions by user, severity from the value."""
     return as_event_alerts(read(spark, sf_dir, "events"))
@@ -33,7 +39,7 @@ def as_event_alerts(events: DataFrame) -> DataFrame:
 
 def document_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as alerts of thirty days in 2024, typed by their text."""
-    return read(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir).select(
         F.col("doc_id").alias("alert_id"),
         "text",
         F.substring_index("text", "\n", 1).alias("title"),

@@ -55,6 +55,16 @@ def _typed(text: Column, target: T.StructField) -> Column:
     return text.try_cast(target.dataType).alias(target.name)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give costly per-row work on a small table to all cores.
+
+    A table with fewer input splits than there are cores is shuffled by
+    ``key``; a larger one already occupies them and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_alerts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Raw alerts; dates stay strings until they are parsed."""
     return read_table(spark, path, ALERT_RAW if fmt != "csv" else None, fmt)
