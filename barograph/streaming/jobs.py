@@ -139,10 +139,13 @@ def flag_bursts(daily: str, target: str, keys: Sequence[str] = (), window: int =
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counts = batch.groupBy(*keys, F.to_date("window_start").alias("issued_date")).agg(F.sum("total_alerts").alias("total_alerts"))
-        counts.withColumn("batch_seq", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
+        numbered = counts.withColumn("batch_seq", F.lit(batch_id).cast("long"))
+        numbered.write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_seq").parquet(daily)
-        series = spark.read.parquet(daily).groupBy(*keys, "issued_date").agg(F.sum("total_alerts").alias("total_alerts"))
+        # A first batch without closed windows writes no file to take a schema from.
+        stored = spark.read.schema(numbered.schema).parquet(daily)
+        series = stored.groupBy(*keys, "issued_date").agg(F.sum("total_alerts").alias("total_alerts"))
         flags = burst_flags(fill_days(series, keys), window, k, keys=keys)
         flags.write.mode("overwrite").parquet(target)
 
