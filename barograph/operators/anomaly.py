@@ -45,19 +45,28 @@ RESULT_COLUMNS = ["anomaly_score", "is_anomaly", "anomaly_confidence", "anomaly_
 
 
 def anomaly_features(
-    daily: DataFrame, types: Sequence[str] = ALERT_TYPES, keys: Sequence[str] = (), day: str = "issued_date"
+    daily: DataFrame,
+    types: Sequence[str] = ALERT_TYPES,
+    keys: Sequence[str] = (),
+    day: str = "issued_date",
+    keep_row: bool = False,
 ) -> tuple[DataFrame, list[str]]:
-    """The feature columns of a daily series and their names; nulls become 0."""
+    """The feature columns of a daily series and their names; nulls become 0.
+
+    ``keep_row`` carries the whole input row along as the struct ``_row``.
+    """
     base = existing_columns(daily, [*NUMERIC_FEATURES, *types])
     if not base:
         raise ValueError("the table has none of the feature columns")
-    out = daily.select(*keys, day, *base).withColumns(day_parts(F.col(day)))
+    carried = ["_row"] if keep_row else []
+    rows = daily.withColumn("_row", F.struct(*daily.columns)) if keep_row else daily
+    out = rows.select(*carried, *keys, day, *base).withColumns(day_parts(F.col(day)))
     names = [*base, *day_parts(F.col(day))]
     if "total_alerts" in base:
         out = zscores(lag_features(out, LAGS, keys=keys, day=day), (7, 30), keys=keys, day=day)
         names += [f"lag_{k}" for k in LAGS] + ["rolling_std_7", "rolling_std_30", "z_score_7", "z_score_30"]
     clean = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in names]
-    return out.select(*keys, day, *clean), names
+    return out.select(*carried, *keys, day, *clean), names
 
 
 def average_path(size: np.ndarray) -> np.ndarray:
@@ -188,21 +197,21 @@ class AnomalyModel:
     contamination: float = 0.1
     seed: int = 42
 
-    def points(self, daily: DataFrame, day: str = "issued_date") -> DataFrame:
-        """Keys, day and projected feature vector ``x`` of each row."""
-        rows, _ = anomaly_features(daily, self.types, self.keys, day)
-        return self.projection.transform(rows).select(*self.keys, day, vector_to_array("selected").alias("x"))
-
     def predict(self, daily: DataFrame, day: str = "issued_date") -> DataFrame:
-        """The series with score, flag, confidence and severity, joined by key and day."""
-        scored = score_rows(self.points(daily, day), self.trees).select(
-            *self.keys, day, (F.col("raw") - F.lit(self.offset)).alias("anomaly_score")
-        )
+        """The series with score, flag, confidence and severity.
+
+        Rows keep their own columns while they are scored, so nothing has to
+        be joined back and the series is computed once.
+        """
+        rows, _ = anomaly_features(daily, self.types, self.keys, day, keep_row=True)
+        points = self.projection.transform(rows).select("_row", vector_to_array("selected").alias("x"))
         score = F.col("anomaly_score")
-        results = scored.select(
-            "*", (score < 0).alias("is_anomaly"), F.abs(score).alias("anomaly_confidence")
-        ).withColumn("anomaly_severity", confidence_bin(F.col("anomaly_confidence")))
-        return daily.join(results, [*self.keys, day], "left")
+        return (
+            score_rows(points, self.trees)
+            .select("_row.*", (F.col("raw") - F.lit(self.offset)).alias("anomaly_score"))
+            .select("*", (score < 0).alias("is_anomaly"), F.abs(score).alias("anomaly_confidence"))
+            .withColumn("anomaly_severity", confidence_bin(F.col("anomaly_confidence")))
+        )
 
     def save(self, path: str) -> None:
         """Write the model below ``path`` in Spark's own formats."""
@@ -251,7 +260,9 @@ def fit_anomaly_model(
         projection = PipelineModel([assembled, scaler, pca, slicer])
         points = projection.transform(rows).select(*keys, day, vector_to_array("selected").alias("x"))
         trees = build_forest(points, [*keys, day], n_rows, n_trees, max_samples, seed).orderBy("tree_id").collect()
-        offset = exact_quantile(score_rows(points, trees), "raw", contamination)
+        raw = score_rows(points, trees).select("raw").persist()
+        offset = exact_quantile(raw, "raw", contamination)
+        raw.unpersist()
     finally:
         rows.unpersist()
     return AnomalyModel(names, projection, trees, offset, list(types), list(keys), contamination, seed)

@@ -139,29 +139,26 @@ class ForecastModel:
         clipped result to it, so all features move along.
         """
         by = [*self.keys, "target"]
-        state = latest_state(long_series(daily, list(self.models), self.keys, day), self.keys)
-        vector, following = _state_vector().alias("features"), _advance(F.col("prediction"))
-        parts = []
-        for target, model in self.models.items():
-            rows = state.filter(F.col("target") == target)
-            for step in range(1, horizon + 1):
-                rows = model.transform(rows.select("*", vector)).drop("features")
-                rows = rows.withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
-                rows = rows.withColumn(f"_step_{step}", F.col("prediction")).select(
-                    *by,
-                    *[f"_step_{i}" for i in range(1, step + 1)],
-                    *following,
-                )
-            steps = F.array(*[F.col(f"_step_{i}") for i in range(1, horizon + 1)])
-            first_day = F.date_sub("day", horizon)
-            parts.append(
-                rows.select(*by, first_day.alias("_last"), F.posexplode(steps).alias("_pos", "forecast")).select(
-                    *self.keys, F.expr("date_add(_last, _pos + 1)").alias("date"), "target", "forecast"
-                )
-            )
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
+        rows = latest_state(long_series(daily, list(self.models), self.keys, day), self.keys)
+        # All targets advance together, so the series is read once; each row
+        # takes the prediction of its own target's model.
+        named = {t: m.copy({m.predictionCol: f"_prediction_{i}"}) for i, (t, m) in enumerate(self.models.items())}
+        own = F.coalesce(*[F.when(F.col("target") == t, F.col(m.getPredictionCol())) for t, m in named.items()])
+        value, means, vector = F.greatest(own, F.lit(0.0)), _state_means(), _state_vector()
+        following = _advance(F.col("_next"))
+        for step in range(1, horizon + 1):
+            rows = rows.select("*", *means).select("*", vector)
+            for model in named.values():
+                rows = model.transform(rows)
+            done = [f"_step_{i}" for i in range(1, step)]
+            state = ["day", "rows", "history", *[ema_name(a) for a in EMA_ALPHAS]]
+            rows = rows.select(*by, *state, *done, value.alias("_next"))
+            rows = rows.select(*by, *done, F.col("_next").alias(f"_step_{step}"), *following)
+        out = rows.select(
+            *by,
+            F.date_sub("day", horizon).alias("_last"),
+            F.posexplode(F.array(*[f"_step_{i}" for i in range(1, horizon + 1)])).alias("_pos", "forecast"),
+        ).select(*self.keys, F.expr("date_add(_last, _pos + 1)").alias("date"), "target", "forecast")
         residual = {t: rmse for t, (_, rmse) in self.metrics.items()} if interval == "residual" else None
         return with_intervals(out, self.keys, residual)
 
@@ -200,17 +197,16 @@ def latest_state(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).filter(F.size("history") == HISTORY)
 
 
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
-def _std(values: Column, mean: Column) -> Column:
-    squares = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(squares / (F.size(values) - 1))
+def _state_means() -> list[Column]:
+    return [(_sum(F.slice("history", -n, n)) / n).alias(f"_mean_{n}") for n in ROLLING_WINDOWS]
 
 
 def _state_vector() -> Column:
-    """The feature vector of ``forecast_features`` from a carried state."""
+    """The feature vector of ``forecast_features`` from a carried state and its means."""
     history, day = F.col("history"), F.col("day")
 
     def back(k: int) -> Column:
@@ -218,14 +214,20 @@ def _state_vector() -> Column:
 
     columns = [back(k) for k in LAGS]
     for n in ROLLING_WINDOWS:
-        part = F.slice(history, -n, n)
-        columns += [_mean(part), _std(part, _mean(part)), F.array_min(part), F.array_max(part)]
+        part, mean = F.slice(history, -n, n), F.col(f"_mean_{n}")
+        std = F.sqrt(_sum(F.transform(part, lambda x: F.pow(x - mean, 2))) / (n - 1))
+        columns += [mean, std, F.array_min(part), F.array_max(part)]
     columns += [F.col(ema_name(a)) for a in EMA_ALPHAS]
     calendar = calendar_features(day)
     columns += [calendar[c] for c in CALENDAR]
     for k in (1, 7):
         columns += [back(0) - back(k), F.try_divide(back(0) - back(k), back(k))]
-    return _vector(columns)
+    return _vector(columns).alias("features")
+
+
+def state_features(state: DataFrame) -> DataFrame:
+    """A carried state with its ``features``."""
+    return state.select("*", *_state_means()).select("*", _state_vector())
 
 
 def _advance(value: Column) -> list[Column]:

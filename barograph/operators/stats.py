@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions import text as txt
 from barograph.functions.display import fixed
 from barograph.functions.severity import freshness
 from barograph.operators.daily import unpivot_types
@@ -279,8 +278,8 @@ def forecast_summary(forecasts: DataFrame) -> DataFrame:
 def keyword_counts(df: DataFrame, tokens: Column, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of every token, overall or per day, type or other column.
 
-    The tokens of a text are counted where it lies and the aggregation is
-    partial before its shuffle, so frequent words do not pile up in one task.
+    The aggregation is partial before its shuffle, so frequent words do not
+    pile up in one task.
     """
-    per_text = df.select(*by, F.explode(txt.token_counts(tokens)).alias("_t"))
-    return per_text.groupBy(*by, F.col("_t.token").alias("token")).agg(F.sum(-F.col("_t.neg")).alias("n"))
+    exploded = df.select(*by, F.explode(tokens).alias("token"))
+    return exploded.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))

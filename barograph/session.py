@@ -25,6 +25,12 @@ def get_spark(app_name: str = "barograph", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Pages reach Python in batches bounded by bytes, not only by rows.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+        # Keys of unfinished windows and duplicates live on disk, not on the heap.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

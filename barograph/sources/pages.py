@@ -137,12 +137,12 @@ def parse_pages(
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page in batch.to_pylist():
-                root = read_page(page["html"])
-                base = base_url or page["url"] or ""
+            for page_id, url, html in zip(*batch.columns):
+                base = base_url or url.as_py() or ""
+                root = read_page(html.as_py())
                 found = list(listed_alerts(root, base))
                 found = found or list(loose_sections(root, class_pattern, min_chars, max_chars, base))
-                rows += [{"page_id": page["page_id"], "seq": i, **alert} for i, alert in enumerate(found)]
+                rows += [{"page_id": page_id.as_py(), "seq": i, **alert} for i, alert in enumerate(found)]
             yield pa.RecordBatch.from_pylist(rows, ARROW_ROW)
 
     return pages.select("page_id", "url", "html").mapInArrow(parse, ROW)

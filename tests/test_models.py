@@ -39,8 +39,9 @@ def test_a_tenth_is_flagged_and_the_outlier_is_found(year, model):
     got = model.predict(year).toPandas()
     assert len(got) == 400 and got["is_anomaly"].sum() == 40
     assert (got["is_anomaly"] == (got["anomaly_score"] < 0)).all()
-    worst = got.sort_values("anomaly_score").iloc[0]
-    assert worst["issued_date"] == START + dt.timedelta(350)
+    # The days after carry the outlier in their lags and averages.
+    flagged = set(got.loc[got["is_anomaly"], "issued_date"])
+    assert {START + dt.timedelta(350 + i) for i in range(4)} <= flagged
     assert np.allclose(got["anomaly_confidence"], got["anomaly_score"].abs())
     assert set(got["anomaly_severity"]) <= {"low", "medium", "high", "critical"}
 
@@ -157,7 +158,7 @@ def test_state_features_equal_window_features(year):
     """The carried state gives the vector that the windows give for the same day."""
     long = forecast.long_series(year, ["total_alerts"])
     windows = forecast.forecast_features(long).orderBy(F.desc("day")).first()
-    state = forecast.latest_state(long).select("day", forecast._state_vector().alias("features")).first()
+    state = forecast.state_features(forecast.latest_state(long)).first()
     assert windows["day"] == state["day"]
     assert len(windows["features"]) == len(forecast.FEATURES)
     np.testing.assert_allclose(windows["features"].toArray(), state["features"].toArray(), rtol=1e-9, atol=1e-9)
@@ -168,8 +169,8 @@ def test_advanced_state_equals_the_state_of_a_longer_series(spark, year):
     shorter = long.filter(F.col("day") < F.lit(START + dt.timedelta(399)))
     last = long.orderBy(F.desc("day")).first()["value"]
     step = forecast.latest_state(shorter).select("target", *forecast._advance(F.lit(last)))
-    a = step.select(forecast._state_vector().alias("f")).first()["f"].toArray()
-    b = forecast.latest_state(long).select(forecast._state_vector().alias("f")).first()["f"].toArray()
+    a = forecast.state_features(step).first()["features"].toArray()
+    b = forecast.state_features(forecast.latest_state(long)).first()["features"].toArray()
     np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
 
 
