@@ -460,6 +460,14 @@ SELECT 5, 'frequent_type', 'Most frequent alert type recently: ' || upper(t[1])
 UNION ALL
 SELECT 6, 'season', format('Current month typically sees higher than average alert activity ({{:.1f}} vs yearly average {{:.1f}}).', m, y) FROM y WHERE n > 365 AND m > y * 1.3"""
 
+    # The pages' only classed elements are plain ``div class="ad"`` blocks.
+    sql["page_sections"] = f"""WITH blocks AS (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) AS raw FROM pages),
+texts AS (
+  SELECT page_id, url, trim(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), E' \\t\\n\\r') AS text FROM blocks)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id) - 1 AS INTEGER) AS seq, left(text, 1000) AS text, url AS link
+FROM texts WHERE length(text) > 20"""
+
     sql["stream_hourly"] = stream_counts(["type", "region"], "1 HOUR", "date_trunc('hour', issued_date)")
     sql["stream_weekly"] = stream_counts(["type"], "7 DAY", "unnest(generate_series(CAST(day AS TIMESTAMP) - INTERVAL 6 DAY, CAST(day AS TIMESTAMP), INTERVAL 1 DAY))")
     return sql
