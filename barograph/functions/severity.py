@@ -30,8 +30,9 @@ def sentiment_label(
     lowest: str = LOWEST_LABEL,
 ) -> Column:
     """Label of the first limit that the score exceeds."""
-    chain = F
-    for limit, label in limits:
+    (first, name), *rest = limits
+    chain = F.when(score > first, name)
+    for limit, label in rest:
         chain = chain.when(score > limit, label)
     return chain.otherwise(lowest)
 

@@ -104,8 +104,8 @@ def recompute_days(
 
     An alert may move to another day, so the days of the versions it replaces
     are recounted too. ``daily`` is partitioned by day and only the touched
-    partitions are written; days left without alerts keep a row of zeros when
-    they have no keys.
+    partitions are written; a day left without alerts keeps one row of zeros,
+    whose keys are null.
     """
     store = upsert_days(table, id_cols, ts)
 
