@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barograph.llm import textbytes
-from barograph.llm.common import shuffle_partitions, stored
+from barograph.llm.common import release, shuffle_partitions, stored
 
 #: Variants of one anchor that a shard takes.
 VARIANTS = 200
@@ -237,7 +237,8 @@ def repeated_ranges(
     # The list of one document is at most as long as its text.
     lists = several.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY, "lo")).alias("segments"))
     contents = stored(_contents(marked.select("doc_id", "text").distinct().join(lists, "doc_id"), unit), "contents")
-    contents = contents.join(variants, "h")
+    release(marked)
+    variant_contents, contents = contents, contents.join(variants, "h")
 
     size = contents.filter(f"variants <= {VARIANTS}").agg(F.sum("len")).first()[0] or 0
     shards = max(math.ceil(size / shard_symbols), shuffle_partitions(spark))
@@ -271,17 +272,22 @@ def repeated_ranges(
         .select(*KEY, F.col("rel").alias("s"), (F.col("rel") + length).alias("e"))
     )
     partial = solved.union(common).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).cast(ranges_type).alias("part"))
+    partial = stored(partial, "partial")
+    release(variant_contents, windows)
     known = groups.join(partial, KEY, "left").filter("n > 1 or part is not null")
     is_first = (F.col("first.doc_id") == F.col("doc_id")) if across else (F.col("first") == F.struct("doc_id", "lo"))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("len").alias("e"))).cast(ranges_type)
     ranges = F.when(is_first, F.coalesce("part", F.array().cast(ranges_type))).otherwise(whole)
     moved = F.transform(ranges, lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e")))
-    return (
+    ranges = stored(
         segments.join(known, KEY)
         .select("doc_id", F.explode(moved).alias("range"))
         .groupBy("doc_id")
-        .agg(F.collect_list("range").alias("ranges"))
+        .agg(F.collect_list("range").alias("ranges")),
+        "ranges",
     )
+    release(segments, groups, partial)
+    return ranges
 
 
 def merged(start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.common import stored
+from barograph.llm.common import release, stored
 
 
 def _starred(edges: DataFrame, small: bool) -> DataFrame:
@@ -37,7 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(edges.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
     while True:
-        current = stored(_starred(_starred(current, small=False), small=True), "stars")
+        moved = stored(_starred(_starred(current, small=False), small=True), "stars")
+        release(current)
+        current = moved
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40)), F.sum("b")).first()
         if state == before:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
