@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import repeats_bwt, repeats_fm
+from barograph.llm import packing, repeats_bwt, repeats_fm, sharding
 from barograph.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,11 @@ def query(function):
     return function
 
 
+@query
+def op2_differencing_shards(spark, sf):
+    return sharding.query(read_table(spark, sf, "documents"))
+
+
 @query
 def op3_byte_repeats(spark, sf):
     return repeats_bwt.query(read_table(spark, sf, "documents"))
@@ -25,3 +30,8 @@ def op3_byte_repeats(spark, sf):
 @query
 def op7_passage_repeats(spark, sf):
     return repeats_fm.query(read_table(spark, sf, "documents"))
+
+
+@query
+def op9_packing(spark, sf):
+    return packing.query(read_table(spark, sf, "documents"))
