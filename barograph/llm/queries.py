@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import packing, repeats_bwt, repeats_fm, sharding
+from barograph.llm import near_dup, packing, repeats_bwt, repeats_fm, sharding, toxicity, vectors
 from barograph.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,11 @@ def query(function):
     return function
 
 
+@query
+def op1_minhash_near_dups(spark, sf):
+    return near_dup.query(read_table(spark, sf, "documents"))
+
+
 @query
 def op2_differencing_shards(spark, sf):
     return sharding.query(read_table(spark, sf, "documents"))
@@ -27,11 +32,21 @@ def op3_byte_repeats(spark, sf):
     return repeats_bwt.query(read_table(spark, sf, "documents"))
 
 
+@query
+def op4_toxicity(spark, sf):
+    return toxicity.query(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 @query
 def op7_passage_repeats(spark, sf):
     return repeats_fm.query(read_table(spark, sf, "documents"))
 
 
+@query
+def op8_vector_near_dups(spark, sf):
+    return vectors.query(read_table(spark, sf, "embeddings"))
+
+
 @query
 def op9_packing(spark, sf):
     return packing.query(read_table(spark, sf, "documents"))

@@ -26,8 +26,8 @@ from barograph.llm.components import components
 COSINE = 0.93
 SIGNS = 48
 #: Neighbours on either side, and vectors of one block of the order.
-WINDOW = 256
-BLOCK = 1024
+WINDOW = 512
+BLOCK = 2048
 MISS = 0.002
 LEAST_PASSES = 6
 
