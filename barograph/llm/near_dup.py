@@ -9,8 +9,11 @@ Jaccard similarity ``s`` meet in a table with probability
 
 Documents of one table key are compared with one of them, the hub, not with each
 other. Where that leaves a key in several components, another hub is tried, and in
-the end all pairs of different components that still share a key. Copies (equal
-sets) are one class throughout, so the work follows the number of different texts.
+the end all pairs of different components that still share a key and can be similar
+at all: a bitmap of each set shows how many members of one the other lacks at
+least, which bounds the intersection from above before any text is read.
+Copies (equal sets) are one class throughout, so the work follows the number of
+different texts.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from barograph.llm.components import components
 ROWS = 2
 GROUP = 9
 #: Rounds of one hub per key before all remaining pairs.
-HUBS = 3
+HUBS = 2
+#: Longs of the bitmap of a set.
+BITMAP = 16
 CHUNK = 1 << 21
 
 
@@ -65,6 +70,11 @@ def _minima(hashes: np.ndarray, bounds: np.ndarray, number: int) -> np.ndarray:
     return out
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(rows).view(np.int64).ravel())
+    return pa.FixedSizeListArray.from_arrays(flat, rows.shape[1]).cast(pa.list_(pa.int64()))
+
+
 def _sketch(n: int, tail: bool, rows: int, group: int):
     def sketch(batches):
         for batch in batches:
@@ -77,16 +87,18 @@ def _sketch(n: int, tail: bool, rows: int, group: int):
                 for r in range(rows):
                     keys = textbytes.mix(keys * np.uint64(textbytes.BASE) + minima[:, :, r])
                 sizes, marks = np.zeros(b - a, np.int64), np.zeros((b - a, 2), np.uint64)
+                bitmaps = np.zeros((b - a, 64 * BITMAP), np.uint8)
                 for i in range(b - a):
                     if bounds[i + 1] > bounds[i]:
                         own = np.unique(hashes[bounds[i] : bounds[i + 1]])
                         sizes[i] = len(own)
+                        bitmaps[i, own & np.uint64(64 * BITMAP - 1)] = 1
                         # The set itself, as two sums over its members.
                         marks[i] = own.sum(), (own * (own >> np.uint64(1) | np.uint64(1))).sum()
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), 2 * group).cast(pa.list_(pa.int64()))
+                marks = marks.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes), pa.array(marks[:, 0].view(np.int64)), pa.array(marks[:, 1].view(np.int64)), lists],
-                    ["doc_id", "n", "k1", "k2", "hashes"],
+                    [ids.slice(a, b - a), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), _lists(keys), _lists(np.packbits(bitmaps, axis=1).view(np.uint64))],
+                    ["doc_id", "n", "k1", "k2", "hashes", "bitmap"],
                 )
 
     return sketch
@@ -143,9 +155,11 @@ def _crowded(buckets: DataFrame) -> DataFrame:
     return buckets.join(several, "key")
 
 
-def _similar_size(percent: int) -> str:
-    """Sets whose sizes differ by more cannot be that similar."""
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+def _may_link(percent: int) -> str:
+    """Whether two sets can be that similar: members that the other's bitmap lacks are not shared."""
+    lacks = [" + ".join(f"bit_count({p}.bits{i} & ~{q}.bits{i})" for i in range(BITMAP)) for p, q in ("xy", "yx")]
+    most = f"least(x.n - ({lacks[0]}), y.n - ({lacks[1]}))"
+    return f"x.component <> y.component and {100 + percent} * {most} >= {percent} * (x.n + y.n)"
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bool = False, rows: int = ROWS, group: int = GROUP) -> DataFrame:
@@ -163,11 +177,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
     """
     docs = docs.drop("n_shingles", "component_id", "kept")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n long, k1 long, k2 long, hashes array<long>"
+    schema = "doc_id long, n long, k1 long, k2 long, hashes array<long>, bitmap array<long>"
     sketched = stored(ids.mapInArrow(_sketch(words, tail, rows, group), schema), "sketches")
     key = ["n", "k1", "k2"]
     usable = sketched.filter("n > 0 and doc_id is not null")
-    classes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("hashes").alias("hashes")), "classes")
+    classes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("hashes").alias("hashes"), F.first("bitmap").alias("bitmap")), "classes")
     buckets = stored(_crowded(_buckets(classes, group)), "buckets")
     texts = stored(
         ids.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts"
@@ -182,36 +196,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long")
     links = spark.createDataFrame([], "a long, b long")
-    labels, open_buckets = None, buckets.withColumn("component", F.col("rep"))
+    bits = [f"bits{i}" for i in range(BITMAP)]
+    side = ["rep", "n", "component", *bits]
+    maps = classes.select("rep", *[F.col("bitmap")[i].alias(c) for i, c in enumerate(bits)])
+    labels, opened = None, buckets.withColumn("component", F.col("rep")).join(maps, "rep")
     for turn in range(HUBS + 1):
         if turn < HUBS:
             # The first hub is the smallest id, mostly the same in all tables; later ones differ by table.
             choice = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
-            hub = open_buckets.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), choice).alias("hub"))
-            met = open_buckets.join(hub, "key").select(
-                F.col("hub.rep").alias("x"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("c_a"), F.col("rep").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("c_b")
-            ).filter("x <> y")
+            hub = opened.groupBy("key").agg(F.min_by(F.struct(*side), choice).alias("x"))
+            met = opened.select("key", F.struct(*side).alias("y")).join(hub, "key").filter(_may_link(percent))
         else:
-            one, two = open_buckets.alias("one"), open_buckets.alias("two")
-            met = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep"))).select(
-                F.col("one.rep").alias("x"), F.col("one.n").alias("n_a"), F.col("one.component").alias("c_a"), F.col("two.rep").alias("y"), F.col("two.n").alias("n_b"), F.col("two.component").alias("c_b")
-            )
-        # Hubs come first in a pair, so that the pairs of a hub meet in one place.
-        pairs = met.filter("c_a <> c_b").filter(_similar_size(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+            x = opened.select("key", F.struct(*side).alias("x"))
+            y = opened.select(F.col("key").alias("_key"), F.struct(*side).alias("y"))
+            met = x.join(y, (F.col("key") == F.col("_key")) & F.expr(f"x.rep < y.rep and {_may_link(percent)}"))
+        pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         if turn:
             known = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            if turn < HUBS:
-                continue
-            break
-        new = stored(verified(pairs), "confirmed")
-        tested, links = tested.union(pairs), links.union(new)
-        labels = components(links)
-        named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        open_buckets = stored(named.join(unsettled, "key").select("key", "rep", "n", "component"), "open")
+        if not turn or not pairs.isEmpty():
+            tested, links = tested.union(pairs), links.union(stored(verified(pairs), "confirmed"))
+            labels = components(links)
+        if turn < HUBS:
+            named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+            opened = stored(named.join(unsettled, "key").select("key", "rep", "n", "component").join(maps, "rep"), "open")
     release(texts)
     of_class = classes.select(*key, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id")
