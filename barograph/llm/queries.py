@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import near_dup, packing, repeats_bwt, repeats_fm, sharding, toxicity, vectors
+from barograph.llm import decontaminate, near_dup, packing, pii, repeats_bwt, repeats_fm, secrets, sharding, toxicity, vectors
 from barograph.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,16 @@ def op4_toxicity(spark, sf):
     return toxicity.query(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
+@query
+def op5_secrets(spark, sf):
+    return secrets.query(read_table(spark, sf, "documents"))
+
+
+@query
+def op6_decontamination(spark, sf):
+    return decontaminate.query(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 @query
 def op7_passage_repeats(spark, sf):
     return repeats_fm.query(read_table(spark, sf, "documents"))
@@ -50,3 +60,8 @@ def op8_vector_near_dups(spark, sf):
 @query
 def op9_packing(spark, sf):
     return packing.query(read_table(spark, sf, "documents"))
+
+
+@query
+def op10_pii(spark, sf):
+    return pii.query(read_table(spark, sf, "documents"))
