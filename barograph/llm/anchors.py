@@ -236,7 +236,7 @@ def repeated_ranges(
     several = groups.join(variants, "h").select(*KEY, "variants", "first.*")
     # The list of one document is at most as long as its text.
     lists = several.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY, "lo")).alias("segments"))
-    contents = stored(_contents(marked.select("doc_id", "text").distinct().join(lists, "doc_id"), unit), "contents")
+    contents = stored(_contents(marked.select("doc_id", "text").dropDuplicates(["doc_id"]).join(lists, "doc_id"), unit), "contents")
     release(marked)
     variant_contents, contents = contents, contents.join(variants, "h")
 

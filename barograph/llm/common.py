@@ -28,7 +28,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     before = spark.conf.get(CLEANUP_CONF, "false")
     spark.conf.set(CLEANUP_CONF, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP_CONF, before)
     table = spark.read.schema(df.schema).parquet(path)

@@ -19,13 +19,14 @@ from barograph.llm.common import extended
 
 LENGTH = 100
 GRAM = 32
-#: Symbols of a shard; the columns of one hold about 30 bytes a symbol.
-SHARD_SYMBOLS = 1_500_000
+#: Symbols of a shard; the columns of one hold about 30 bytes a symbol and stay in a core's cache.
+SHARD_SYMBOLS = 200_000
 
 
 def collection_transform(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Transform (0 for "nothing before", else byte + 1) and common prefix with the row above.
 
+    UTF-8 has no byte 255, so a symbol fits into a byte and a round sorts in linear time.
     Rows are the suffixes of all strings in order, the empty ones first, those of
     equal content in the order of the strings.
     """
@@ -36,9 +37,9 @@ def collection_transform(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 
     def before(which: np.ndarray, taken: int) -> np.ndarray:
         """The symbol before the last ``taken`` ones of the strings ``which``."""
-        out = np.zeros(len(which), np.int16)
+        out = np.zeros(len(which), np.uint8)
         some = sizes[which] > taken
-        out[some] = data[ends[which[some]] - taken - 1].astype(np.int16) + 1
+        out[some] = data[ends[which[some]] - taken - 1] + 1
         return out
 
     everyone = np.arange(m)
@@ -47,30 +48,34 @@ def collection_transform(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]
         active = everyone[sizes >= taken]
         order = np.argsort(transform, kind="stable")
         order = order[np.count_nonzero(transform == 0) :]
+        symbols = transform[order]
         # Rows of the new suffixes: where the symbol before each newest suffix goes when sorted.
         n = len(transform)
-        keys = transform[order].astype(np.int64) * n + order
-        target = np.searchsorted(keys, transform[row[active]].astype(np.int64) * n + row[active])
+        keys = symbols.astype(np.int64)
+        keys *= n
+        keys += order
+        newest = row[active]
+        target = np.searchsorted(keys, transform[newest].astype(np.int64) * n + newest)
         new = np.zeros(m + len(order), bool)
         new[m + target] = True
-        merged = np.empty(len(new), np.int16)
+        merged = np.empty(len(new), np.uint8)
         merged[~new] = transform
         merged[m + target] = before(active, taken)
         # A prefix changes at a new row and at the row below it: one more than the
         # least between the two shorter suffixes in the columns of the last round.
         prefixes = np.empty(len(new), np.int16)
         prefixes[~new] = common
-        touched = np.unique(np.concatenate([target, target + 1]))
-        touched = touched[touched < len(order)]
-        above = touched - 1
-        same = (above >= 0) & (transform[order[touched]] == transform[order[np.maximum(above, 0)]])
+        moved = new[m:].copy()
+        moved[1:] |= new[m:-1]
+        touched = np.flatnonzero(moved)
+        same = symbols[touched] == symbols[np.maximum(touched - 1, 0)]
+        same &= touched > 0
         prefixes[m + touched] = 0
         touched = touched[same]
         if len(touched):
             pairs = np.empty(2 * len(touched), np.int64)
             pairs[0::2], pairs[1::2] = order[touched - 1] + 1, order[touched] + 1
-            padded = np.append(common, np.int16(0))
-            prefixes[m + touched] = np.minimum.reduceat(padded, pairs)[0::2] + 1
+            prefixes[m + touched] = np.minimum.reduceat(np.append(common, np.int16(0)), pairs)[0::2] + 1
         transform, common = merged, prefixes
         row[active] = m + target
     return transform, common
