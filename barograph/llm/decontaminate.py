@@ -19,16 +19,16 @@ from barograph.llm.common import digest, stored
 
 WINDOW = 10
 SHINGLE = 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lowered.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, after A-Z are lowered and before.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shingles that one broadcast holds, 16 bytes each and overhead.
 BLOCK = 200_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -44,23 +44,23 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return listed.select("item_id", F.explode(starts).alias("i"), "words").select("item_id", F.slice("words", F.col("i") + 1, window).alias("w")).distinct()
 
 
-def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], window: int) -> DataFrame:
-    """Places in documents that have one of the shingles, with the words around."""
-    listed = docs.select(_row_key(docs).alias("key"), words_of(F.col("text")).alias("words"))
+def _matches(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """Places in documents that have one of the shingles; no text travels with a place."""
+    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    listed = docs.select(_row_key(docs).alias("key"), hashes.alias("words"))
 
     def hashed(size: int) -> Column:
         # Shifted copies of the list side by side: each place is hashed in constant time.
         shifted = F.arrays_zip(*[F.slice("words", i + 1, F.size("words")).alias(f"w{i}") for i in range(size)])
-        hashes = F.transform(shifted, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(size)]))
-        return F.slice(hashes, 1, F.greatest(F.size("words") - (size - 1), F.lit(0)))
+        combined = F.transform(shifted, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(size)]))
+        return F.slice(combined, 1, F.greatest(F.size("words") - (size - 1), F.lit(0)))
 
     out = None
     for size in sizes:
-        # Only places that pass the join below take a copy of the words around them.
-        places = listed.select("key", "words", hashed(size).alias("hashes")).select("key", "words", F.posexplode("hashes").alias("p", "h"))
+        # The outer form, as the other makes the optimizer test every list before it is built.
+        places = listed.select("key", F.size("words").alias("n"), hashed(size).alias("hashes")).select("key", "n", F.posexplode_outer("hashes").alias("p", "h"))
         met = places.join(F.broadcast(shingles.filter(F.col("size") == size).select("h")), "h")
-        first = F.greatest(F.col("p") - (window - 1), F.lit(0))
-        met = met.select("key", F.lit(size).alias("size"), "h", "p", first.alias("first"), F.size("words").alias("n"), F.slice("words", first + 1, 2 * window + SHINGLE).alias("around"))
+        met = met.select("key", F.lit(size).alias("size"), "h", "p", "n")
         out = met if out is None else out.union(met)
     return out
 
@@ -72,14 +72,14 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     size = F.least(F.col("m"), F.lit(SHINGLE))
     at = F.sequence(F.lit(0), F.col("m") - F.col("size"))
     shingled = distinct.withColumn("size", size).withColumn("offset", F.explode(at))
-    parts = [F.when(F.col("size") > i, F.col("w")[F.col("offset") + i]) for i in range(SHINGLE)]
+    parts = [F.when(F.col("size") > i, F.xxhash64(F.col("w")[F.col("offset") + i])) for i in range(SHINGLE)]
     shingled = stored(shingled.withColumn("h", F.xxhash64(*parts)), "shingles")
     wanted = shingled.select("h", "size").distinct()
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
     blocks = max(1, math.ceil(wanted.count() / BLOCK))
     met = None
     for b in range(blocks):
-        part = _matches(docs, wanted.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b), sizes, window) if sizes else None
+        part = _matches(docs, wanted.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b), sizes) if sizes else None
         met = part if met is None else met.union(part)
     if met is None:
         empty = docs.select(_row_key(docs).alias("key"), F.lit(0).alias("start")).limit(0)
@@ -92,9 +92,12 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     prefix = ranked.filter("rarest.often > 0").select("w", "m", "rarest.offset", "rarest.h", "rarest.size")
     start = F.col("p") - F.col("offset")
     joined = met.join(prefix, ["h", "size"]).withColumn("start", start)
-    fits = joined.filter("start >= 0 and start + m <= n")
-    same = F.expr("slice(around, start - first + 1, m)") == F.col("w")
-    return fits.filter(same).select("key", "start", "m", "w"), windows
+    fits = joined.filter("start >= 0 and start + m <= n").select("key", "start", "m", "w").distinct()
+    # Only documents with a place that passed the bounds meet their words again.
+    lists = fits.groupBy("key").agg(F.collect_list(F.struct("start", "m", "w")).alias("places"))
+    texts = docs.select(_row_key(docs).alias("key"), "text").join(lists, "key").dropDuplicates(["key"])
+    checked = texts.select("key", words_of(F.col("text")).alias("words"), "places").select("key", "words", F.explode_outer("places").alias("x"))
+    return checked.filter("slice(words, x.start + 1, x.m) = x.w").select("key", "x.*"), windows
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -116,7 +119,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     lists = named.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("_items"))
     known = hits.join(lists, "key").withColumnRenamed("key", "_key")
     keyed = docs.withColumn("_own", _row_key(docs)).withColumn(
-        "n_words", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD), F.lit(0))).cast("long")
+        "n_words", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN_ANY_CASE), "")).cast("long")
     )
     return keyed.join(known, F.col("_own").eqNullSafe(F.col("_key")), "left").select(
         *docs.columns,

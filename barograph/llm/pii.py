@@ -74,7 +74,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 def _word_sets(docs: DataFrame) -> DataFrame:
     """Each word of each text once."""
     listed = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    return docs.select(F.explode(listed).alias("term"))
+    return docs.select(F.explode_outer(listed).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, texts: int) -> DataFrame:
@@ -123,10 +123,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     mark = F.xxhash64("text")
     whole = (
         docs.select("doc_id", "text", F.concat(*base_spans(text).values()).alias("_base"))
-        .filter(F.size("_base") > 0)
-        .select("doc_id", mark.alias("mark"), "text", F.explode("_base").alias("_x"))
+        # Outer forms, as the others make the optimizer build every list twice.
+        .select("doc_id", mark.alias("mark"), "text", F.explode_outer("_base").alias("_x"))
+        .filter("_x is not null")
         .select("doc_id", "mark", entity.alias("entity"), around.alias("_around"))
-        .select("doc_id", "mark", "entity", F.explode("_around").alias("_t"))
+        .select("doc_id", "mark", "entity", F.explode_outer("_around").alias("_t"))
+        .filter("_t is not null")
         .select("doc_id", "mark", "entity", "_t.*")
     )
     near = stored(whole, "near")
