@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barograph.llm.common import numbered, shuffle_partitions, stored
+from barograph.llm.common import batches_of, numbered, shuffle_partitions, stored
 
 CAPACITY = 2048
 #: Tokens that a final bin may lack.
@@ -29,8 +30,10 @@ SLACK = 16
 #: Tasks whose underfull bins one task of the next round takes, and the bins it takes if there are as many.
 FAN_IN = 8
 LEAST = 512
-#: Words whose tokens a worker remembers.
+#: Words whose tokens a worker remembers, beside those of the texts at hand.
 REMEMBERED = 600_000
+#: Characters of the texts that are split at a time; a longer text is alone.
+CHUNK = 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -38,42 +41,72 @@ class WordIds(dict):
     """Token ids, as little-endian bytes, of pieces of text between ASCII white space.
 
     White space always ends a token of this tokenizer, so the ids of a text are
-    those of its words in turn. Words that end in one comma or full stop are looked
-    up without it. The tokenizer itself sees each word once while it is remembered.
+    those of its words in turn. Latin letters are read in lower case and a closing
+    comma or full stop apart from them, so one stem serves several words. Stems that
+    are not remembered yet are tokenised together, with ``BETWEEN`` between them.
     """
 
+    #: A word of one token, by which the ids of many stems are told apart.
+    BETWEEN = "~"
+
     def __init__(self, name: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.mark = {m: self.encode(m) for m in (b".", b",")}
-
-    def encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        (self.between,) = self.ids_of([self.BETWEEN])[0]
+        self.mark = {m: self.ids_of([m])[0].tobytes() for m in (".", ",")}
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, stems: list[str]) -> list[bytes]:
+        joined = self.ids_of([f" {self.BETWEEN} ".join(stems)])[0]
+        at = np.flatnonzero(joined == self.between)
+        if len(at) != len(stems) - 1:
+            # Some stem has that token itself.
+            return [x.tobytes() for x in self.ids_of(stems)]
+        raw, begin, end = joined.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(joined)]
+        return [raw[i:j] for i, j in zip(begin, end)]
+
+    def stem(self, word: str) -> tuple[str, bytes]:
+        """What stands for the word, and the ids of the mark that closes it."""
+        tail = self.mark.get(word[-1], b"")
+        body = word[:-1] if tail else word
+        # Beyond Latin, or where lower case adds a combining sign, letters may not stay letters.
+        if body and max(body) < "\u0250" and (lower := body.lower()).isalpha():
+            return lower, tail
+        return word, b""
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of ``words``; older ones are forgotten when there are too many."""
+        new = words.difference(self)
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        tail = self.mark.get(word[-1:])
-        if tail is not None and word[:-1].isalpha():
-            ids = self[word[:-1]] + tail
-        elif word.isalpha() and not word.islower():
-            # ASCII letters only: the tokenizer reads them in lower case.
-            ids = self[word.lower()]
-        else:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
+            new = words
+        stems = {w: self.stem(w.decode()) for w in new}
+        known = {stem: self.get(stem.encode()) for stem, _ in stems.values()}
+        plain = [stem for stem, ids in known.items() if ids is None and self.BETWEEN not in stem]
+        marked = [stem for stem, ids in known.items() if ids is None and self.BETWEEN in stem]
+        if plain:
+            known.update(zip(plain, self.encode(plain)))
+        if marked:
+            known.update(zip(marked, (x.tobytes() for x in self.ids_of(marked))))
+        self.update((w, known[stem] + tail) for w, (stem, tail) in stems.items())
 
 
 @functools.cache
 def word_ids(name: str) -> WordIds:
+    # Spark has a task for every core already.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordIds(name)
 
 
-def token_bytes(text: str | None, known: WordIds) -> bytes:
-    """Ids of the text and the closing id 0, four bytes each."""
-    return b"".join(map(known.__getitem__, (text or "").encode().split())) + b"\0\0\0\0"
+def token_bytes(texts: list[str | None], known: WordIds) -> Iterator[bytes]:
+    """Ids of each text and the closing id 0, four bytes each."""
+    for some in batches_of(texts, CHUNK, lambda text: len(text or "")):
+        split = [(text or "").encode().split() for text in some]
+        known.learn(set().union(*split))
+        for words in split:
+            yield b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> tuple[list[int], int]:
@@ -140,8 +173,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
         step = 4 * capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_bytes(text.as_py(), known)
+            for doc, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), known)):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -328,9 +328,10 @@ def test_packing(corpus):
 
 def test_special_words_are_tokenised_whole():
     known = packing.WordIds(packing.TOKENIZER)
-    for text in ["It's 12.5% of <|endoftext|> café́ ÉCOLE, İstanbul ΣΑΣ. a b\x1cc d don't.", "x,", ".,", "日本語 テスト。", "A.B. C,"]:
-        want = np.array([*known.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
-        assert packing.token_bytes(text, known) == want
+    texts = ["It's 12.5% of <|endoftext|> café́ ÉCOLE, İstanbul İ, ΣΑΣ. a b\x1cc d don't.", "x,", ".,", "日本語 テスト。", "A.B. C,", None, "~ a~ ~~ B~,", "état. ÉTAT, État"]
+    want = [np.array([*known.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert list(packing.token_bytes(texts, known)) == want
+    assert [next(packing.token_bytes([t], packing.word_ids(packing.TOKENIZER))) for t in texts] == want
 
 
 @pytest.mark.parametrize("run", [near_dup.query, sharding.query, repeats_bwt.query, repeats_fm.query, secrets.query, pii.query, packing.query])
