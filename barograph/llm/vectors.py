@@ -9,6 +9,15 @@ Recall: at the least cosine the chance that one sign differs is ``acos(c) / pi``
 so two such vectors share the signs that narrow ``n`` vectors down to a window with
 probability ``p = (window / n) ** -log2(1 - acos(c) / pi)``. The number of passes
 is chosen so that all of them miss with probability ``MISS`` or less.
+
+That holds where vectors are spread. In a crowd of near copies, larger than a window,
+all share most signs and no pass brings a given pair together. A vector that in some
+pass links with ``CROWD`` or more neighbours on one side is crowded: it leaves the
+passes and is compared exactly. Crowded vectors gather in cells around pivots; by the
+triangle inequality for angles only vectors within the radius of a cell and the angle
+of a link can link with its members, and those are compared block by block, in as many
+tasks as there are pairs of blocks. The passes then run again over the rest of these
+labels, until nothing in them is crowded.
 """
 
 from __future__ import annotations
@@ -20,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.common import stored
+from barograph.llm.common import release, stored
 from barograph.llm.components import components
 
 COSINE = 0.93
@@ -30,6 +39,13 @@ WINDOW = 512
 BLOCK = 2048
 MISS = 0.002
 LEAST_PASSES = 6
+#: Links on one side of a vector, in one pass, from which it is compared exactly.
+CROWD = WINDOW // 4
+#: Crowded vectors per pivot, and pivots of a label at most.
+CELL = 2048
+PIVOTS = 64
+#: Allows for the rounding of angles, in radians.
+SLACK = 1e-5
 
 
 def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW) -> int:
@@ -97,9 +113,16 @@ def _ranked(keys: DataFrame) -> DataFrame:
     return ranks.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "rank"))), lambda x: x["rank"]).alias("ranks"))
 
 
-def _compare_block(cosine: float, window: int, block: int):
+def _units(embeddings) -> np.ndarray:
+    """Vectors of length one; scaled first, so that squares neither overflow nor vanish."""
+    x = np.stack(embeddings)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _compare_block(cosine: float, window: int, block: int, crowd: int):
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links found first in this pass: their number per vector, and a tree of them."""
+        """Links found first in this pass, their number per vector, a tree of them, and crowded vectors."""
         number = int(key[0])
         rows = rows.sort_values("rank", kind="stable").reset_index(drop=True)
         n = len(rows)
@@ -108,6 +131,7 @@ def _compare_block(cosine: float, window: int, block: int):
         label, dim, copies = rows["label"].to_numpy(), rows["dim"].to_numpy(), rows["copies"].to_numpy()
         reps = rows["rep"].to_numpy()
         links, parent = np.zeros(n, np.int64), np.arange(n)
+        after, ahead = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -117,10 +141,7 @@ def _compare_block(cosine: float, window: int, block: int):
 
         for d in np.unique(dim):
             mine = np.flatnonzero(dim == d)
-            x = np.stack(rows["embedding"].to_numpy()[mine])
-            # Scaled first, so that squares neither overflow nor vanish.
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = _units(rows["embedding"].to_numpy()[mine])
             for a in range(0, len(mine), 256):
                 left, right = mine[a : a + 256], mine[a:]
                 near = np.searchsorted(rank[right], rank[left[-1]] + window, "right")
@@ -130,6 +151,8 @@ def _compare_block(cosine: float, window: int, block: int):
                 gap = rank[right[j]] - rank[left[i]]
                 keep = (gap > 0) & (gap <= window) & (rank[left[i]] // block == key[1]) & (label[left[i]] == label[right[j]])
                 i, j = left[i[keep]], right[j[keep]]
+                np.add.at(after, i, 1)
+                np.add.at(ahead, j, 1)
                 # An earlier pass that had both in one window has counted the link.
                 earlier = np.zeros(len(i), bool)
                 for q in range(number):
@@ -142,12 +165,128 @@ def _compare_block(cosine: float, window: int, block: int):
                     if u != v:
                         parent[max(u, v)] = min(u, v)
         tree = np.array([reps[root(i)] for i in range(n)], np.int64)
+        crowded = np.maximum(after, ahead) >= crowd
+        some = (links > 0) | (tree != reps) | crowded
+        return pd.DataFrame({"rep": reps[some], "label": label[some], "links": links[some], "tree": tree[some], "crowded": crowded[some]})
+
+    return compare
+
+
+def _in_windows(active: DataFrame, cosine: float) -> DataFrame:
+    """``(rep, label, links, tree, crowded)``: what all passes over ``active`` find."""
+    largest = active.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    ranks = _ranked(_keys(active, passes_for(largest, cosine)))
+    # A vector goes to its block in every pass, and as a neighbour to the block before.
+    at = F.posexplode("ranks").alias("pass", "rank")
+    blocks = active.join(ranks, "rep").select("rep", "label", "dim", "copies", "embedding", "ranks", at)
+    block = F.floor(F.col("rank") / BLOCK)
+    halo = (F.col("rank") % BLOCK < WINDOW) & (block > 0)
+    blocks = blocks.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
+    schema = f"rep long, label {dict(active.dtypes)['label']}, links long, tree long, crowded boolean"
+    return stored(blocks.groupBy("pass", "block").applyInPandas(_compare_block(cosine, WINDOW, BLOCK, CROWD), schema), "found")
+
+
+def _compare_cells(cosine: float):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """All links between the members and the guests of a pair of blocks.
+
+        A member finds all its links in its own cell, so links of two crowded vectors
+        are counted for one end in either cell.
+        """
+        member = rows["member"].to_numpy()
+        reps, copies, crowded = (rows[c].to_numpy() for c in ("rep", "copies", "crowded"))
+        x = _units(rows["embedding"].to_numpy())
+        own, guest = np.flatnonzero(member), np.flatnonzero(~member)
+        linked = x[own] @ x[guest].T >= cosine
+        other = linked & (reps[own][:, None] != reps[guest][None, :])
+        links = np.zeros(len(rows), np.int64)
+        links[own] = other @ copies[guest]
+        links[guest] = np.where(crowded[guest], 0, copies[own] @ other)
+        tree = reps.copy()
+        fresh, waiting = np.ones(len(own), bool), np.ones(len(guest), bool)
+        for first in range(len(own)):
+            if not fresh[first]:
+                continue
+            fresh[first] = False
+            mine, theirs, edge = [first], [], np.array([first])
+            while len(edge):
+                met = np.flatnonzero(waiting & linked[edge].any(axis=0))
+                waiting[met] = False
+                theirs.extend(met)
+                edge = np.flatnonzero(fresh & linked[:, met].any(axis=1))
+                fresh[edge] = False
+                mine.extend(edge)
+            together = np.concatenate([own[mine], guest[theirs]]).astype(int)
+            tree[together] = reps[together].min()
         some = (links > 0) | (tree != reps)
         return pd.DataFrame({"rep": reps[some], "links": links[some], "tree": tree[some]})
 
     return compare
 
 
+def _exactly(active: DataFrame, crowded: DataFrame, cosine: float) -> DataFrame:
+    """``(rep, links, tree)``: all links of the ``crowded`` (rep) among ``active``."""
+    marked = stored(
+        active.select("rep", "label", "dim", "copies", "embedding")
+        .join(crowded.select("rep", F.lit(True).alias("crowded")), "rep", "left")
+        .withColumn("crowded", F.coalesce("crowded", F.lit(False))),
+        "marked",
+    )
+    dense = marked.filter("crowded")
+    sizes = dense.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
+    # Thinned by a hash before they are ranked, so that no task sees a whole crowd.
+    wanted = F.least(F.ceil(F.col("rows") / CELL), F.lit(PIVOTS))
+    chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+    thin = dense.join(F.broadcast(sizes), ["label", "dim"]).withColumn("wanted", wanted).filter(chance * F.col("rows") < F.lit(1 << 30) * (F.col("wanted") * 4 + 32))
+    at = F.expr("row_number() over (partition by label, dim order by xxhash64(rep), rep)")
+    chosen = thin.withColumn("at", at).filter("at <= wanted").select("label", "dim", "embedding").collect()
+    pivots: dict = {}
+    for number, row in enumerate(chosen):
+        numbers, directions = pivots.setdefault((row["label"], row["dim"]), ([], []))
+        numbers.append(number)
+        directions.append(np.array(row["embedding"]))
+    pivots = {k: (np.array(numbers), _units(directions)) for k, (numbers, directions) in pivots.items()}
+    shared = marked.sparkSession.sparkContext.broadcast(pivots)
+
+    def angles(part: pd.DataFrame):
+        for key, rows in part.groupby(["label", "dim"]):
+            if key in shared.value:
+                numbers, directions = shared.value[key]
+                yield rows, numbers, np.arccos(np.clip(_units(rows["embedding"].to_numpy()) @ directions.T, -1, 1))
+
+    def homes(batches):
+        for part in batches:
+            for rows, numbers, angle in angles(part):
+                nearest = angle.argmin(axis=1)
+                yield pd.DataFrame({"rep": rows["rep"], "cell": numbers[nearest], "angle": angle[np.arange(len(rows)), nearest]})
+
+    home = stored(dense.select("rep", "label", "dim", "embedding").mapInPandas(homes, "rep long, cell long, angle double"), "homes")
+    cells = home.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("members")).collect()
+    reach = np.full(len(chosen), -1.0)
+    for row in cells:
+        reach[row["cell"]] = row["radius"] + math.acos(cosine) + SLACK
+
+    def visits(batches):
+        for part in batches:
+            for rows, numbers, angle in angles(part):
+                which, cell = np.nonzero(angle <= reach[numbers][None, :])
+                yield pd.DataFrame({"rep": rows["rep"].to_numpy()[which], "cell": numbers[cell]})
+
+    guests = stored(marked.select("rep", "label", "dim", "embedding").mapInPandas(visits, "rep long, cell long"), "guests")
+    counts = guests.groupBy("cell").agg(F.count(F.lit(1)).alias("guests")).join(home.groupBy("cell").agg(F.count(F.lit(1)).alias("members")), "cell")
+    blocks = counts.select("cell", F.ceil(F.col("members") / BLOCK).alias("own"), F.ceil(F.col("guests") / BLOCK).alias("other"))
+
+    def side(rows: DataFrame, member: bool) -> DataFrame:
+        mine, theirs = ("own", "other") if member else ("other", "own")
+        dealt = rows.join(F.broadcast(blocks), "cell").select("rep", "cell", F.pmod(F.xxhash64("rep"), F.col(mine)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)).alias(theirs))
+        return dealt.select("rep", "cell", "own", "other", F.lit(member).alias("member"))
+
+    dealt = side(home.select("rep", "cell"), True).union(side(guests, False)).join(marked.select("rep", "copies", "crowded", "embedding"), "rep")
+    found = stored(dealt.groupBy("cell", "own", "other").applyInPandas(_compare_cells(cosine), "rep long, links long, tree long"), "exact")
+    release(marked, home, guests)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, columns: tuple[str, str, str] = ("vec_id", "embedding", "label"), cosine: float = COSINE) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -155,7 +294,7 @@ def near_duplicates(vectors: DataFrame, columns: tuple[str, str, str] = ("vec_id
     is null, zero or empty or holds a null or non-finite component links with
     nothing, nor does one without ``vec_id``. Copies (equal vectors of a label) are one class,
     compared once and counted as many; classes are compared within windows of
-    ``WINDOW`` neighbours. ``n_links`` counts the other vectors found at ``cosine``
+    ``WINDOW`` neighbours, in crowds exactly. ``n_links`` counts the other vectors found at ``cosine``
     or above, ``component_id`` is the smallest ``vec_id`` reachable. Rows that
     repeat a ``vec_id`` with the same vector count as copies of each other. Other
     columns are not read.
@@ -167,18 +306,21 @@ def near_duplicates(vectors: DataFrame, columns: tuple[str, str, str] = ("vec_id
     classes = stored(
         members.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "classes"
     )
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, cosine)
-    ranks = _ranked(_keys(classes, passes))
-    # A vector goes to its block in every pass, and as a neighbour to the block before.
-    at = F.posexplode("ranks").alias("pass", "rank")
-    blocks = classes.join(ranks, "rep").select("rep", "label", "dim", "copies", "embedding", "ranks", at)
-    block = F.floor(F.col("rank") / BLOCK)
-    halo = (F.col("rank") % BLOCK < WINDOW) & (block > 0)
-    blocks = blocks.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
-    found = stored(
-        blocks.groupBy("pass", "block").applyInPandas(_compare_block(cosine, WINDOW, BLOCK), "rep long, links long, tree long"), "found"
-    )
+    found, active = None, classes
+    while active is not None:
+        passed = _in_windows(active, cosine)
+        crowded = passed.filter("crowded").select("rep", "label").distinct()
+        if crowded.isEmpty():
+            part, active = passed.select("rep", "links", "tree"), None
+        else:
+            crowded = stored(crowded, "crowded")
+            # Labels without crowds are done; of the others only what the passes can find is left to them.
+            again = F.broadcast(crowded.select("label").distinct())
+            part = passed.join(again, "label", "left_anti").select("rep", "links", "tree")
+            busy = active.join(again, "label", "left_semi")
+            part = part.union(_exactly(busy, crowded, cosine))
+            active = stored(busy.join(crowded.select("rep"), "rep", "left_anti"), "active")
+        found = part if found is None else found.union(part)
     linked = components(found.filter("rep <> tree").select(F.col("rep").alias("a"), F.col("tree").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classed = (

@@ -306,6 +306,28 @@ def test_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(a == i for a, _ in links), component[i], component[i] == i)
 
 
+def test_crowded_vectors(spark, monkeypatch):
+    """Crowds of near copies several times larger than the window, in two labels, one with a second crowd."""
+    monkeypatch.setattr(vectors, "WINDOW", 32)
+    monkeypatch.setattr(vectors, "BLOCK", 128)
+    monkeypatch.setattr(vectors, "CROWD", 8, raising=False)
+    monkeypatch.setattr(vectors, "CELL", 200, raising=False)
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((2, 32))
+    crowd = [(centres[k] + rng.uniform(0.1, 0.3) * rng.standard_normal(32), 0) for k in (0, 0, 0, 1) for _ in range(200)]
+    crowd += [(centres[0] + 0.2 * rng.standard_normal(32), 1) for _ in range(150)]
+    spread = [(rng.standard_normal(32), i % 3) for i in range(600)]
+    rows = [(i, v.tolist(), label) for i, (v, label) in enumerate([*crowd, *spread])]
+    rows += [(5000, rows[0][1], 0), (5001, rows[0][1], 0)]
+    got = {r.vec_id: r for r in vectors.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, labels = np.array([i for i, *_ in rows]), np.array([y for *_, y in rows])
+    linked = (x @ x.T >= 0.93) & (labels[:, None] == labels[None, :])
+    component = roots([(ids[i], ids[j]) for i, j in zip(*np.nonzero(linked)) if i < j], ids)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(linked[k].sum()) - 1, component[i]) for k, i in enumerate(ids)}
+
+
 def test_packing(corpus):
     df, rows = corpus
     out = packing.query(df).collect()
