@@ -72,16 +72,17 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _word_sets(docs: DataFrame) -> DataFrame:
-    """Each word of each text once."""
+    """Each word of each row once, with the mark of its text."""
     listed = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    return docs.select(F.explode_outer(listed).alias("term"))
+    return docs.select(F.xxhash64("text").alias("mark"), F.explode_outer(listed).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, texts: int) -> DataFrame:
     """``(entity, term)`` pairs at or above the thresholds; ``near`` has entity, term and a mark of the text.
 
-    Copies of a text count once. Term counts cover all documents, in blocks of
-    terms small enough to send to every task.
+    Copies of a text count once in all four figures; ``texts`` is the number of
+    different texts. Term counts cover all documents, in blocks of terms small
+    enough to send to every task.
     """
     together = near.groupBy("entity", "term").agg(F.count_distinct("mark").alias("both")).filter(F.col("both") >= SUPPORT)
     entities = near.groupBy("entity").agg(F.count_distinct("mark").alias("of_entity"))
@@ -91,7 +92,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, texts: int) -> DataFrame:
     counted = None
     for b in range(blocks):
         some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
-        part = _word_sets(docs).join(F.broadcast(some), "term").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+        part = _word_sets(docs).join(F.broadcast(some), "term").select("term", "mark").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
         counted = part if counted is None else counted.union(part)
     joined_pairs = pairs.join(counted, "term")
     total = F.lit(float(max(texts, 1)))
@@ -132,7 +133,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         .select("doc_id", "mark", "entity", "_t.*")
     )
     near = stored(whole, "near")
-    telling = disclosing_terms(docs, near, docs.count())
+    texts = docs.filter("text is not null").select(mark.alias("mark")).distinct().count()
+    telling = disclosing_terms(docs, near, texts)
     one = F.struct("s", F.lit(4).alias("o"), "e", F.lit("term").alias("kind"))
     terms = near.join(telling, ["entity", "term"]).groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_set(one).alias("_terms"))
     joined_docs = found.withColumn("_own", mark).join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")), "left")

@@ -266,6 +266,16 @@ def test_terms_that_disclose(spark):
     assert f"term:{s}:{s + 8}" in got[0].spans and "today" not in [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[0].spans.split(",")]
 
 
+def test_copies_do_not_hide_terms(spark):
+    """A text copied often counts once, in the term's figure as in the others."""
+    texts = [f"text {i} has Zanzibar beside ann@example.org today" for i in range(2)]
+    rest = [f"plain words beside today number {i}" for i in range(60)]
+    rows = list(enumerate(texts + rest)) + [(100 + i, texts[0]) for i in range(200)]
+    got = by_id(pii.query(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    s = texts[0].index("Zanzibar")
+    assert all(f"term:{s}:{s + 8}" in got[i].spans for i in (0, 1, 100, 299))
+
+
 def test_decontamination(spark, corpus):
     df, rows = corpus
     texts = {i: t for i, t, *_ in rows}
