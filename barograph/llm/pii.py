@@ -1,11 +1,12 @@
 """Personal data in text: fixed patterns, and terms that disclose a protected entity.
 
-An entity is the text of a pattern match. A term is a word near an entity. How much
-a term tells about an entity is their pointwise mutual information over the corpus,
-as a share of the information of the entity itself: 1 when the term occurs only
-where the entity does. Terms at or above ``DISCLOSURE`` that stood near the entity
-in ``SUPPORT`` or more different texts are spans too, to be generalised or removed.
-Column functions only.
+An entity is the text of a pattern match. A term is a word outside all of them,
+anywhere in a text with an entity. How much a term tells about an entity is their
+pointwise mutual information over the corpus, as a share of the information of the
+entity itself: 1 when the term occurs only where the entity does. A term at or above
+``DISCLOSURE`` that shares ``SUPPORT`` or more different texts with the entity is a
+span, to be generalised or removed, wherever it occurs, also in texts without the
+entity. Column functions only.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from barograph.llm.spans import SPANS, count_of, find, joined, of_kind
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
 SUPPORT = 2
-#: Code points on either side of an entity in which terms are looked for.
-NEAR = 80
 TERM = r"\p{L}{4,}"
 #: Terms that one broadcast holds.
 BLOCK = 200_000
@@ -71,75 +70,118 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _word_sets(docs: DataFrame) -> DataFrame:
-    """Each word of each row once, with the mark of its text."""
-    listed = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    return docs.select(F.xxhash64("text").alias("mark"), F.explode_outer(listed).alias("term"))
+def _outside(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of ``spans``, so that places stay as they are."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(x["e"], acc["at"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, texts: int) -> DataFrame:
-    """``(entity, term)`` pairs at or above the thresholds; ``near`` has entity, term and a mark of the text.
+    whole = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
-    Copies of a text count once in all four figures; ``texts`` is the number of
-    different texts. Term counts cover all documents, in blocks of terms small
-    enough to send to every task.
-    """
-    together = near.groupBy("entity", "term").agg(F.count_distinct("mark").alias("both")).filter(F.col("both") >= SUPPORT)
-    entities = near.groupBy("entity").agg(F.count_distinct("mark").alias("of_entity"))
-    pairs = stored(together.join(entities, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
+
+def _words(outside: str) -> Column:
+    """The terms of a text in their order."""
+    return F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
+
+
+def _meeting(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` whose term is among ``terms``, in blocks of terms small enough to send to every task."""
     blocks = max(1, math.ceil(terms.count() / BLOCK))
-    counted = None
+    met = None
     for b in range(blocks):
-        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
-        part = _word_sets(docs).join(F.broadcast(some), "term").select("term", "mark").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-        counted = part if counted is None else counted.union(part)
-    joined_pairs = pairs.join(counted, "term")
+        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).select("term")
+        part = rows.join(F.broadcast(some), "term")
+        met = part if met is None else met.union(part)
+    return met
+
+
+def _places(outside: Column, numbers: str) -> Column:
+    """Spans of the terms of a text whose ``numbers``, sorted, are given; one walk over its words."""
+    pieces = F.arrays_zip(F.split(outside, TERM).alias("gap"), F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)).alias("hit"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("number"), F.lit(0).alias("next"), F.array().cast(SPANS).alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        mine = F.coalesce(F.get(F.col(numbers), acc["next"]) == acc["number"], F.lit(False))
+        one = F.struct(begin.alias("s"), F.lit(4).alias("o"), end.alias("e"), F.lit("term").alias("kind"))
+        found = F.when(mine, F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), (acc["number"] + 1).alias("number"), (acc["next"] + mine.cast("int")).alias("next"), found.alias("found"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+
+
+def _most(texts: int, of_entity: str) -> Column:
+    """No term of more texts than this reaches ``DISCLOSURE`` for an entity of ``of_entity`` texts.
+
+    From the definition of the score, as they share ``of_entity`` texts at most. Allows for rounding.
+    """
+    return F.pow(F.col(of_entity).cast("double"), F.lit(DISCLOSURE)) * F.pow(F.lit(float(max(texts, 1))), F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+
+
+def disclosing_terms(read: DataFrame, texts: int) -> DataFrame:
+    """``(entity, term)`` pairs at or above the thresholds.
+
+    ``read`` has text, its mark and spans, and the text outside them; ``texts`` is
+    the number of different texts. Copies of a text count once in all four figures,
+    and term counts cover all documents. Before entities meet terms, those are left
+    out of which the counts show that no pair can reach the thresholds.
+    """
+    held = stored(
+        read.filter(F.size("_base") > 0)
+        .select("mark", F.array_distinct(F.transform("_base", lambda x: F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"])))).alias("entities"), F.array_distinct(_words("_outside")).alias("terms"))
+        .dropDuplicates(["mark"]),
+        "held",
+    )
+    entity_of = held.select("mark", F.explode("entities").alias("entity"))
+    entities = stored(entity_of.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).filter((F.col("of_entity") >= SUPPORT) & (F.col("of_entity") < texts)), "entities")
+    known = stored(entity_of.join(entities, "entity"), "known")
+    # The most frequent entity of a text allows the most frequent terms.
+    best = known.groupBy("mark").agg(F.max("of_entity").alias("best"))
+    seen = held.join(best, "mark").select("mark", "best", F.explode("terms").alias("term"))
+    candidates = seen.groupBy("term").agg(F.count(F.lit(1)).alias("beside"), F.max("best").alias("best"))
+    candidates = stored(candidates.filter((F.col("beside") >= SUPPORT) & (F.col("beside") <= _most(texts, "best"))), "candidates")
+    listed = read.select("mark", F.explode_outer(F.array_distinct(_words("_outside"))).alias("term"))
+    of_term = _meeting(listed, candidates).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    rare = stored(candidates.join(of_term, "term").filter(F.col("of_term") <= _most(texts, "best")).select("term", "of_term"), "rare")
+    term_of = seen.select("mark", "term").join(rare, "term")
+    together = known.join(term_of, "mark").filter(F.col("of_term") <= _most(texts, "of_entity"))
+    pairs = together.groupBy("entity", "term", "of_entity", "of_term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
     total = F.lit(float(max(texts, 1)))
-    # A term cannot be in fewer texts than it was seen in beside the entity.
-    of_term = F.greatest("of_term", "both")
-    shared = F.log2(total * F.col("both") / (of_term * F.col("of_entity")))
+    shared = F.log2(total * F.col("both") / (F.col("of_term") * F.col("of_entity")))
     own = F.log2(total / F.col("of_entity"))
-    return joined_pairs.filter((own > 0) & (shared >= DISCLOSURE * own)).select("entity", "term")
+    return pairs.filter((own > 0) & (shared >= DISCLOSURE * own)).select("entity", "term")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Adds ``private``, an array of ``(s, o, e, kind)`` by start, to ``docs``.
 
     Places are code points, ends exclusive. Kinds: ``email``, ``ip``, ``card`` and
-    ``phone`` by pattern, ``term`` for disclosing words near one of these. Null and
-    empty texts have no spans. Rows of equal ``doc_id`` and text have the same
-    spans. Extra columns stay; one named ``private`` is replaced, and names starting
-    with ``_`` are reserved.
+    ``phone`` by pattern, ``term`` for every occurrence of a disclosing word outside
+    these. Null and empty texts have no spans. Rows of equal ``doc_id`` and text have
+    the same spans. Extra columns stay; one named ``private`` is replaced, and names
+    starting with ``_`` are reserved.
     """
     docs = docs.drop("private")
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("*", F.concat(*base_spans(text).values()).alias("_base"))
-    left, right = F.greatest(F.col("_x.s") - NEAR, F.lit(0)), F.col("_x.e")
-    entity = F.lower(F.substring("text", F.col("_x.s") + 1, F.col("_x.e") - F.col("_x.s")))
-    around = F.concat(
-        F.transform(find(F.substring("text", left + 1, F.col("_x.s") - left), TERM), lambda w: F.struct((w["s"] + left).alias("s"), (w["e"] + left).alias("e"), F.lower(w["hit"]).alias("term"))),
-        F.transform(find(F.substring("text", right + 1, F.lit(NEAR)), TERM), lambda w: F.struct((w["s"] + right).alias("s"), (w["e"] + right).alias("e"), F.lower(w["hit"]).alias("term"))),
-    )
     mark = F.xxhash64("text")
-    whole = (
-        docs.select("doc_id", "text", F.concat(*base_spans(text).values()).alias("_base"))
-        # Outer forms, as the others make the optimizer build every list twice.
-        .select("doc_id", mark.alias("mark"), "text", F.explode_outer("_base").alias("_x"))
-        .filter("_x is not null")
-        .select("doc_id", "mark", entity.alias("entity"), around.alias("_around"))
-        .select("doc_id", "mark", "entity", F.explode_outer("_around").alias("_t"))
-        .filter("_t is not null")
-        .select("doc_id", "mark", "entity", "_t.*")
+    read = (
+        docs.filter("text is not null")
+        .select("doc_id", "text", mark.alias("mark"), F.concat(*base_spans(text).values()).alias("_base"))
+        .withColumn("_outside", _outside(F.col("text"), F.col("_base")))
     )
-    near = stored(whole, "near")
     texts = docs.filter("text is not null").select(mark.alias("mark")).distinct().count()
-    telling = disclosing_terms(docs, near, texts)
-    one = F.struct("s", F.lit(4).alias("o"), "e", F.lit("term").alias("kind"))
-    terms = near.join(telling, ["entity", "term"]).groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_set(one).alias("_terms"))
-    joined_docs = found.withColumn("_own", mark).join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")), "left")
-    free = F.filter(F.coalesce("_terms", F.array().cast(SPANS)), lambda t: ~F.exists("_base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return joined_docs.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat("_base", free)).alias("private"))
+    telling = stored(disclosing_terms(read, texts).select("term").distinct(), "telling")
+    listed = read.select("doc_id", "mark", F.posexplode_outer(_words("_outside")).alias("number", "term"))
+    terms = _meeting(listed, telling).groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_set("number")).alias("_terms"))
+    found = docs.select("*", F.concat(*base_spans(text).values()).alias("_base"), mark.alias("_own"))
+    joined_docs = found.join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")), "left")
+    spans = F.when(F.size("_terms") > 0, _places(_outside(text, F.col("_base")), "_terms")).otherwise(F.array().cast(SPANS))
+    return joined_docs.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat("_base", spans)).alias("private"))
 
 
 def query(docs: DataFrame) -> DataFrame:

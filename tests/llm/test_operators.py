@@ -276,6 +276,44 @@ def test_copies_do_not_hide_terms(spark):
     assert all(f"term:{s}:{s + 8}" in got[i].spans for i in (0, 1, 100, 299))
 
 
+def test_terms_far_from_the_entity(spark):
+    """A term counts anywhere in a text with the entity, and is marked in texts without it; against brute force."""
+    rng = random.Random(13)
+    mails = [f"user{k}@host{k}.org" for k in range(6)]
+    names = [f"{w}heim" for w in ("Alten", "Brocken", "Crailen", "Düren", "Enzen", "Falken")]
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts = []
+    for i in range(200):
+        w = rng.choices(plain, k=60)
+        if i < 24:
+            w = [names[i % 6], *w, mails[i % 6], "and", names[i % 6].upper()]
+        elif i < 28:
+            w[30] = names[i % 6]
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts)) + [(300 + i, texts[i % 3]) for i in range(30)] + [(400, None), (401, None), (402, "")]
+    got = by_id(pii.query(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    unique = {t for _, t in rows if t is not None}
+    mail = re.compile(r"user\d@host\d\.org")
+    blanked = {t: mail.sub(lambda m: " " * len(m[0]), t) for t in unique}
+    held = {t: {w.lower() for w in re.findall(r"[^\W\d_]{4,}", blanked[t])} for t in unique}
+    of = defaultdict(set)
+    for t in unique:
+        for x in [*held[t], *mail.findall(t)]:
+            of[x].add(t)
+    telling = set()
+    for m in mails:
+        for w in {w for t in of[m] for w in held[t]}:
+            both = len(of[m] & of[w])
+            if both >= 2 and np.log2(len(unique) * both / (len(of[w]) * len(of[m]))) >= 0.8 * np.log2(len(unique) / len(of[m])):
+                telling.add(w)
+    assert telling == {n.lower() for n in names}
+    for i, t in rows:
+        t = t or ""
+        want = [(m.start(), f"email:{m.start()}:{m.end()}") for m in mail.finditer(t)]
+        want += [(m.start(), f"term:{m.start()}:{m.end()}") for m in re.finditer(r"[^\W\d_]{4,}", blanked.get(t, "")) if m[0].lower() in telling]
+        assert got[i].spans == ",".join(x for _, x in sorted(want)), i
+
+
 def test_decontamination(spark, corpus):
     df, rows = corpus
     texts = {i: t for i, t, *_ in rows}
