@@ -207,6 +207,27 @@ def test_toxicity_learns_and_ignores_other_columns(spark):
     assert got[1000].score == got[1001].score and got[1000].predicted == 0
 
 
+def test_thresholds_see_the_true_share_of_classes(spark, monkeypatch):
+    """A sample capped per class sets the threshold as one that is not capped."""
+    rng = np.random.default_rng(14)
+    toxic = np.arange(2000) % 10 == 0
+    logits = rng.normal(toxic * 2.0, 1.0)
+    whole = toxicity._threshold(logits, toxic.astype(float), np.ones(2000))
+    drawn = toxic | (rng.random(2000) < 200 / 1800)
+    weights = np.where(toxic[drawn], 1.0, (~toxic).sum() / (~toxic & drawn).sum())
+    even = toxicity._threshold(logits[drawn], toxic[drawn].astype(float), np.ones(drawn.sum()))
+    weighted = toxicity._threshold(logits[drawn], toxic[drawn].astype(float), weights)
+    assert abs(weighted - whole) < 0.4 < abs(even - whole)
+
+    monkeypatch.setattr(toxicity, "SAMPLE", 30)
+    docs = spark.createDataFrame([(i, f"w{i} some words here") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(500)], "doc_id long, toxic int")
+    rows, language, marks, totals = toxicity.sample(docs, labels, lambda doc: doc >= 0)
+    assert (len(rows), int(marks.sum()), totals) == (60, 30, (360, 40))
+    monkeypatch.setattr(toxicity, "_threshold", lambda logits, toxic, weights: float((toxic * weights).sum() / weights.sum()))
+    assert abs(toxicity.train(rows, language, marks, totals).thresholds[0] - 0.1) < 0.01
+
+
 def test_toxicity_without_labels(spark, corpus):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.query(corpus[0], labels).collect()} == {0}
