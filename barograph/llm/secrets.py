@@ -3,10 +3,11 @@
 Long tokens are tested against randomness under the alphabet their characters
 suggest: chi-squared of the character counts, runs above and below the middle of
 the alphabet, and correlation of neighbouring characters. The three combine to one
-p-value. Short ordinary words pass such tests too, so the cut is set per band of
-lengths: words of letters only are known to be ordinary, and the share of them that
-reaches a p-value tells how many of the other tokens reach it by chance. A token is
-reported where that estimate of false reports is at most ``FALSE_SHARE``.
+p-value of the token being random. Per band of lengths, tokens are ruled out as not
+random by the procedure of Benjamini and Hochberg over these p-values, so that of the
+tokens ruled out a share of ``FALSE_SHARE`` at most is random; it needs nothing to
+compare with. The others are reported, but for words of letters only, which are known
+to be ordinary.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ KINDS = ("assign", "access", "hex", "random")
 FALSE_SHARE = 0.05
 BAND = 8
 BANDS = 16
-BINS = 40
+#: Bins of p-values per power of ten, and in all.
+FINE = 40
+BINS = 10 * FINE
 #: Alphabets of encodings, in the order in which they are tried.
 DECIMAL = "0123456789"
 HEX_LOWER = "0123456789abcdef"
@@ -107,24 +110,20 @@ def random_tokens(tokens: DataFrame) -> DataFrame:
         "*",
         F.least(F.floor(F.length("token") / BAND), F.lit(BANDS - 1)).cast("int").alias("_band"),
         # Bins of a logarithmic scale: the least p-values are all alike.
-        F.greatest(F.floor(4 * F.log10(F.col("p_random") + 1e-10)) + BINS, F.lit(0)).cast("int").alias("_bin"),
+        F.greatest(F.floor(FINE * F.log10(F.col("p_random") + 1e-10)) + BINS, F.lit(0)).cast("int").alias("_bin"),
         F.col("token").rlike("^[A-Za-z]?[a-z]+$").alias("_ordinary"),
     )
-    counts = tested.groupBy("_band", "_bin").agg(
-        F.sum((~F.col("_ordinary")).cast("long")).alias("others"), F.sum(F.col("_ordinary").cast("long")).alias("ordinary")
-    )
+    tested = tested.filter("not _ordinary")
     # At most BANDS * (BINS + 1) rows from here on, whatever the input.
-    grid = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("_of")
-    shorter = counts.select(grid, "*").filter("_band <= _of")
-    pooled = shorter.groupBy(F.col("_of").alias("_band"), "_bin").agg(
-        F.sum(F.when(F.col("_band") == F.col("_of"), F.col("others")).otherwise(0)).alias("others"), F.sum("ordinary").alias("ordinary")
-    )
-    above = Window.partitionBy("_band").orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = tested.groupBy("_band", "_bin").agg(F.count(F.lit(1)).alias("tokens"))
+    below = Window.partitionBy("_band").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("_band")
-    chance = (1 + F.sum("ordinary").over(above)) / (1 + F.sum("ordinary").over(whole))
-    share = chance * F.sum("others").over(whole) / F.greatest(F.sum("others").over(above), F.lit(1))
-    cuts = pooled.select("_band", "_bin", share.alias("_share")).filter(F.col("_share") <= FALSE_SHARE).groupBy("_band").agg(F.min("_bin").alias("_cut"))
-    return tested.join(F.broadcast(cuts), "_band").filter("not _ordinary and _bin >= _cut").select(*tokens.columns, "p_random")
+    # The greatest p-value of a bin stands for all of it.
+    edge = F.pow(F.lit(10.0), (F.col("_bin") + 1 - BINS) / FINE)
+    level = FALSE_SHARE * F.sum("tokens").over(below) / F.sum("tokens").over(whole)
+    cuts = counts.select("_band", "_bin", (edge <= level).alias("_out")).groupBy("_band").agg(F.max(F.when(F.col("_out"), F.col("_bin"))).alias("_cut"))
+    kept = tested.join(F.broadcast(cuts), "_band").filter("_bin > coalesce(_cut, -1)")
+    return kept.select(*tokens.columns, "p_random")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -132,8 +131,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Places are code points, ends exclusive. Kinds: ``assign``, ``access`` and
     ``hex`` by pattern, ``random`` by the tests (tokens that touch no other span).
-    Null and empty texts have no spans. Without ordinary words to compare with,
-    nothing is called random. Repeated rows each have their spans. Other columns
+    Null and empty texts have no spans. Repeated rows each have their spans. Other columns
     are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -252,6 +252,22 @@ def test_secrets(spark):
     assert len(random_found & set(range(300, 320))) >= 18 and not random_found & set(range(300))
 
 
+def test_secrets_without_long_words(spark):
+    """Random tokens are found where the table has no long words of letters, even alone; patterned ones are not."""
+    rng = random.Random(15)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    odd = ["".join(rng.choice(b64) for _ in range(44)) for _ in range(20)]
+    regular = ["ab1" * 15, "a" * 40 + "1", "1234567890" * 4, "-_" * 20, "user_name_of_the_user_of_the_other_name_1"]
+    texts = [f"key {t} end" for t in odd + regular]
+
+    def found(listed):
+        return {r.doc_id for r in secrets.query(spark.createDataFrame(list(enumerate(listed)), "doc_id long, text string")).collect() if "random" in r.spans}
+
+    got = found(texts)
+    assert len(got & set(range(20))) >= 18 and not got - set(range(20))
+    assert found(texts[:1]) == {0}
+
+
 def test_personal_data(spark):
     rng = random.Random(9)
     texts = ["x a@b.c_d@e.f, 1.2.3.4.5.6.7.8 300.1.1.1 a@b..c 4111 1111 1111 1111", "+1 (377) 555-0271 +12 3 4", "é😀 q@r.st 1.2.3.4", "\x01\x02 a\x02b@c\x02d", None, "", "a" * 5000 + "@" + "b." * 3000 + "c"]
