@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, and rows without an id."""
-    return near_dup.near_duplicates(docs).filter("kept").select(*docs.columns)
+    """The document with the smallest id of each group of near copies, short texts too, and rows without an id."""
+    return near_dup.near_duplicates(docs, tail=True).filter("kept").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

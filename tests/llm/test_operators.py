@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from barograph.llm import (
     components,
     decontaminate,
@@ -99,6 +100,14 @@ def test_near_duplicates(corpus):
     assert {i: (r.n_shingles, r.component_id, r["kept"]) for i, r in got.items()} == {i: (len(s), component[i], component[i] == i) for i, s in sets.items()}
 
 
+def test_pipeline_drops_short_copies(spark):
+    """Of short copies one stays; empty texts and texts of other words all do."""
+    texts = ["Die tz.", "die TZ.", "Die tz.", "Die", "one two three four", "one two three four", "one two three four five", "", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == {0, 3, 4, 6, 7, 8, 9}
+
+
 def test_shards(corpus):
     df, rows = corpus
     out = sharding.query(df).collect()
