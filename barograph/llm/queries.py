@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import decontaminate, near_dup, packing, pii, repeats_bwt, repeats_fm, secrets, sharding, toxicity, vectors
+from barograph.llm import (
+    decontaminate,
+    fim,
+    near_dup,
+    packing,
+    pieces,
+    pii,
+    repeats_bwt,
+    repeats_fm,
+    resample,
+    secrets,
+    sharding,
+    toxicity,
+    vectors,
+)
 from barograph.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +79,18 @@ def op9_packing(spark, sf):
 @query
 def op10_pii(spark, sf):
     return pii.query(read_table(spark, sf, "documents"))
+
+
+@query
+def op11_importance_resampling(spark, sf):
+    return resample.query(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query
+def op12_fill_in_middle(spark, sf):
+    return fim.query(read_table(spark, sf, "documents"))
+
+
+@query
+def op13_sentencepiece(spark, sf):
+    return pieces.query(read_table(spark, sf, "documents"))
