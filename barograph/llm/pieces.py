@@ -13,6 +13,7 @@ import functools
 import heapq
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -147,6 +148,7 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
         self.led_by_space = {i for n, i in self.ids.items() if n.startswith(SPACE)}
+        #: Ids of segments, without the space that begins them.
         self.remembered: dict[str, bytes] = {}
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray]:
@@ -196,10 +198,8 @@ class Pieces:
 
     def _merged(self, chars: str) -> list[str]:
         """Pieces of a run of characters: the best pair first, of equal ones the leftmost."""
-        if len(chars) > SHORT:
-            return self._merged_by_heap(chars)
         rank, symbols = self.rank, list(chars)
-        ranks = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        ranks = [rank(pair, NEVER) for pair in map(add, chars, chars[1:])]
         while ranks and (best := min(ranks)) != NEVER:
             i = ranks.index(best)
             symbols[i] += symbols.pop(i + 1)
@@ -239,14 +239,17 @@ class Pieces:
 
     def segment(self, chars: str) -> bytes:
         """Ids of a segment as little-endian bytes."""
-        joined = self.joined
-        cuts = [0, *[i for i in range(1, len(chars)) if chars[i - 1 : i + 1] not in joined], len(chars)]
-        out = []
-        for i, j in zip(cuts, cuts[1:]):
-            for piece in self._merged(chars[i:j]) if j - i > 1 else [chars[i:j]]:
-                one = self.ids.get(piece)
-                out += [one] if one is not None else [self.byte_ids[b] for b in piece.encode()]
-        return array("i", out).tobytes()
+        if len(chars) <= SHORT:
+            found = self._merged(chars)
+        else:
+            cuts = [i for i in range(1, len(chars)) if chars[i - 1 : i + 1] not in self.joined]
+            runs = (chars[i:j] for i, j in zip([0, *cuts], [*cuts, len(chars)]))
+            found = [p for run in runs for p in (self._merged(run) if len(run) <= SHORT else self._merged_by_heap(run))]
+        try:
+            return array("i", map(self.ids.__getitem__, found)).tobytes()
+        except KeyError:
+            ids = ([self.ids[p]] if p in self.ids else map(self.byte_ids.__getitem__, p.encode()) for p in found)
+            return array("i", [i for some in ids for i in some]).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and where each piece begins and ends in its UTF-8 bytes.
@@ -254,18 +257,20 @@ class Pieces:
         Of the bytes of one character the last one has its span, those before are empty.
         """
         plain, origin = self.normalised(text.encode())
-        segments = SEGMENT.findall(plain.decode())
+        head, segments = split(plain.decode())
         known = self.remembered
         if len(known) > REMEMBERED:
             known.clear()
-        parts = []
-        for s in segments:
-            ids = known.get(s)
-            if ids is None:
-                ids = self.segment(s)
-                if len(s) <= LONGEST:
-                    known[s] = ids
-            parts.append(ids)
+        parts = [*map(known.get, segments)]
+        if None in parts:
+            for i, ids in enumerate(parts):
+                if ids is None:
+                    s = segments[i]
+                    parts[i] = ids = known.get(s) or self.segment(SPACE + s)
+                    if len(s) <= LONGEST:
+                        known[s] = ids
+        if head:
+            parts.insert(0, self.segment(head))
         ids = np.frombuffer(b"".join(parts), "<i4")
         bounds = np.concatenate([[0], np.cumsum(self.lengths[ids])])
         places = origin[bounds]
@@ -306,7 +311,17 @@ class Pieces:
                 yield self.surface[i].decode()
 
 
-SEGMENT = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+MORE_SPACES = regex.compile(rf"{SPACE}({SPACE}*[^{SPACE}]*)")
+
+
+def split(plain: str) -> tuple[str, list[str]]:
+    """What stands before the first space, and the segments, each without the space that begins it."""
+    at = plain.find(SPACE)
+    if at < 0:
+        return plain, []
+    if SPACE * 2 in plain:
+        return plain[:at], MORE_SPACES.findall(plain, at)
+    return plain[:at], plain[at + 1 :].split(SPACE)
 
 
 @functools.cache
