@@ -2,18 +2,17 @@
 
 A text is normalised by the longest prefixes that the model's compiled character map
 has; every normalised byte remembers the source byte it stems from, so each piece is
-projected to the span of the original text that it covers. Merges follow the scores of
-the model's pieces, segment by segment: a segment begins where spaces do, and no piece
-goes on beyond its end, so merging segments apart gives what merging the text gives.
+projected to the span of the original text that it covers. A segment begins where spaces
+do, and no piece goes on beyond its end, so merging segments apart gives what merging
+the text gives: each is merged once, by the public library with its own normalisation off,
+and remembered.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 from array import array
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +27,9 @@ from barograph.llm.common import batches_of, digest, extended
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-#: Segments whose pieces a worker remembers, and the longest of them in characters.
+#: Segments whose pieces a worker remembers, beside those of the texts at hand, and the longest of them.
 REMEMBERED = 600_000
 LONGEST = 64
-#: Characters of a run up to which its pairs are looked through in turn instead of kept in a heap.
-SHORT = 100
-NEVER = float("inf")
 #: Characters of the texts that are encoded at a time; a longer text is alone.
 CHUNK = 1 << 20
 ENCODED = "ids array<int>, begins array<int>, ends array<int>"
@@ -41,7 +37,9 @@ ENCODED = "ids array<int>, begins array<int>, ends array<int>"
 # Field numbers of the public model format.
 NORMALIZER, PIECE = 3, 1
 CHARACTER_MAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
-PIECE_TYPE, NORMAL, UNUSED, USER_DEFINED = 3, 1, 5, 4
+PIECE_TYPE, NORMAL, USER_DEFINED = 3, 1, 4
+#: Behind a model, this takes its normalisation away: of fields given twice the later one holds.
+BARE = bytes([NORMALIZER << 3 | 2, 8, CHARACTER_MAP << 3 | 2, 0, DUMMY_PREFIX << 3, 0, REMOVE_SPACES << 3, 0, ESCAPE_SPACES << 3, 0])
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -123,32 +121,27 @@ class Pieces:
         self.remove_spaces = bool(spec.get(REMOVE_SPACES, 1))
         self.space = SPACE_BYTES if spec.get(ESCAPE_SPACES, 1) else b" "
         kinds = [dict(fields(v)).get(PIECE_TYPE, NORMAL) for f, v in fields(model) if f == PIECE]
-        known = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.library = known = sentencepiece.SentencePieceProcessor(model_proto=model + BARE)
         names = [known.id_to_piece(i) for i in range(len(kinds))]
-        if UNUSED in kinds or USER_DEFINED in kinds:
-            raise ValueError("models with unused or user-defined pieces are not supported")
+        if USER_DEFINED in kinds:
+            raise ValueError("models with user-defined pieces are not supported")
         if sum(map(known.is_byte, range(len(kinds)))) < 0x100:
             raise ValueError("the model must fall back to bytes")
-        self.ids = {n: i for i, (n, k) in enumerate(zip(names, kinds)) if k == NORMAL}
-        if any(SPACE in n.lstrip(SPACE) for n in self.ids):
+        if any(SPACE in n.lstrip(SPACE) for n, k in zip(names, kinds) if k == NORMAL):
             raise ValueError("a piece goes on beyond a space")
-        #: Order in which pairs are merged.
-        self.rank = {n: -known.get_score(i) for n, i in self.ids.items()}.get
-        self.byte_ids = [known.piece_to_id(f"<0x{b:02X}>") for b in range(0x100)]
-        #: Characters that stand side by side within some piece; merges never cross others.
-        self.joined = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)}
+        byte_ids = [known.piece_to_id(f"<0x{b:02X}>") for b in range(0x100)]
         self.lengths = np.array([len(n.encode()) for n in names], np.int64)
-        self.lengths[self.byte_ids] = 1
+        self.lengths[byte_ids] = 1
         self.is_byte = np.zeros(len(names), bool)
-        self.is_byte[self.byte_ids] = True
+        self.is_byte[byte_ids] = True
         self.surface = [n.replace(SPACE, " ").encode() if k == NORMAL else b"" for n, k in zip(names, kinds)]
         for i in range(len(names)):
             if known.is_unknown(i):
                 self.surface[i] = known.decode([i]).encode()
-        for b, i in enumerate(self.byte_ids):
+        for b, i in enumerate(byte_ids):
             self.surface[i] = bytes([b])
-        self.led_by_space = {i for n, i in self.ids.items() if n.startswith(SPACE)}
-        #: Ids of segments, without the space that begins them.
+        self.led_by_space = {i for i, (n, k) in enumerate(zip(names, kinds)) if k == NORMAL and n.startswith(SPACE)}
+        #: Ids of segments as little-endian bytes.
         self.remembered: dict[str, bytes] = {}
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray]:
@@ -196,85 +189,36 @@ class Pieces:
             done = at = at + size
         return b"".join([*parts, text[done:]]), np.concatenate([*origins, own[done:]])
 
-    def _merged(self, chars: str) -> list[str]:
-        """Pieces of a run of characters: the best pair first, of equal ones the leftmost."""
-        rank, symbols = self.rank, list(chars)
-        ranks = [rank(pair, NEVER) for pair in map(add, chars, chars[1:])]
-        while ranks and (best := min(ranks)) != NEVER:
-            i = ranks.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
-            if i < len(ranks):
-                ranks[i] = rank(symbols[i] + symbols[i + 1], NEVER)
-        return symbols
-
-    def _merged_by_heap(self, chars: str) -> list[str]:
-        """The same in n log n steps."""
-        symbols: list[str | None] = list(chars)
-        left, right = [*range(-1, len(symbols) - 1)], [*range(1, len(symbols) + 1)]
-        pairs: list[tuple[float, int, str]] = []
-
-        def offer(a: int) -> None:
-            if a >= 0 and right[a] < len(symbols):
-                piece = symbols[a] + symbols[right[a]]
-                if (order := self.rank(piece)) is not None:
-                    heapq.heappush(pairs, (order, a, piece))
-
-        for a in range(len(symbols) - 1):
-            offer(a)
-        while pairs:
-            _, a, piece = heapq.heappop(pairs)
-            b = right[a]
-            if symbols[a] is None or b >= len(symbols) or symbols[a] + symbols[b] != piece:
-                continue
-            symbols[a], symbols[b] = piece, None
-            right[a] = right[b]
-            if right[a] < len(symbols):
-                left[right[a]] = a
-            offer(left[a])
-            offer(a)
-        return [s for s in symbols if s is not None]
-
-    def segment(self, chars: str) -> bytes:
-        """Ids of a segment as little-endian bytes."""
-        if len(chars) <= SHORT:
-            found = self._merged(chars)
-        else:
-            cuts = [i for i in range(1, len(chars)) if chars[i - 1 : i + 1] not in self.joined]
-            runs = (chars[i:j] for i, j in zip([0, *cuts], [*cuts, len(chars)]))
-            found = [p for run in runs for p in (self._merged(run) if len(run) <= SHORT else self._merged_by_heap(run))]
-        try:
-            return array("i", map(self.ids.__getitem__, found)).tobytes()
-        except KeyError:
-            ids = ([self.ids[p]] if p in self.ids else map(self.byte_ids.__getitem__, p.encode()) for p in found)
-            return array("i", [i for some in ids for i in some]).tobytes()
+    def merged(self, segments: list[str]) -> Iterator[bytes]:
+        """Ids of normalised text."""
+        return (array("i", ids).tobytes() for ids in self.library.encode(segments, num_threads=1))
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a text, and where each piece begins and ends in its UTF-8 bytes.
+    def learn(self, segments: set[str]) -> None:
+        """Remember the ids of ``segments``; older ones are forgotten when there are too many."""
+        known = self.remembered
+        new = segments.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = segments
+        known.update(zip(new, self.merged([SPACE + s for s in new])))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the ids, and where each piece begins and ends in its UTF-8 bytes.
 
         Of the bytes of one character the last one has its span, those before are empty.
         """
-        plain, origin = self.normalised(text.encode())
-        head, segments = split(plain.decode())
-        known = self.remembered
-        if len(known) > REMEMBERED:
-            known.clear()
-        parts = [*map(known.get, segments)]
-        if None in parts:
-            for i, ids in enumerate(parts):
-                if ids is None:
-                    s = segments[i]
-                    parts[i] = ids = known.get(s) or self.segment(SPACE + s)
-                    if len(s) <= LONGEST:
-                        known[s] = ids
-        if head:
-            parts.insert(0, self.segment(head))
-        ids = np.frombuffer(b"".join(parts), "<i4")
-        bounds = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-        places = origin[bounds]
-        return ids, places[:-1], places[1:]
+        plain, origins = zip(*(self.normalised(text.encode()) for text in texts))
+        parts = [split(x.decode()) for x in plain]
+        self.learn(set().union(*(segments for _, segments in parts)))
+        for (head, segments), origin in zip(parts, origins):
+            ids = b"".join(map(self.remembered.__getitem__, segments))
+            if head:
+                ids = next(self.merged([head])) + ids
+            ids = np.frombuffer(ids, "<i4")
+            places = origin[np.concatenate([[0], np.cumsum(self.lengths[ids])])]
+            yield ids, places[:-1], places[1:]
+        for s in {s for _, segments in parts for s in segments if len(s) > LONGEST}:
+            del self.remembered[s]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; control pieces have none, bytes that are no UTF-8 become U+FFFD one by one."""
@@ -352,7 +296,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for rows in batches_of(range(len(texts)), CHUNK, lambda i: len(texts[i])):
-                done = [known.encode(texts[i]) for i in rows]
+                done = [*known.encode([texts[i] for i in rows])]
                 own = batch.slice(rows[0], len(rows))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), *(_lists(list(x)) for x in zip(*done))], schema.names)
 
