@@ -239,6 +239,17 @@ FROM placed
 GROUP BY ALL HAVING max(window_start) + INTERVAL {width} <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
 
 
+ARRIVALS = f"""{EVENT_ALERTS},
+arrivals AS (SELECT *, issued_date + to_hours(CASE WHEN alert_id % 100 = 99 THEN 288 WHEN alert_id % 10 = 9 THEN 44 WHEN alert_id % 10 > 6 THEN 20 ELSE 0 END) AS arrived FROM alerts)"""
+
+
+def watermarks(arrivals: str) -> str:
+    """CTEs ``sliced``, the slice of each arrival, and ``marks``, the watermark two days behind all earlier slices."""
+    return f"""sliced AS (SELECT *, datediff('day', DATE '2024-01-01', CAST(arrived AS DATE)) // 14 AS slice FROM {arrivals}),
+marks AS (SELECT s.slice, max(date_trunc('millisecond', a.issued_date)) - INTERVAL 2 DAY AS mark
+  FROM (SELECT DISTINCT slice FROM sliced) s JOIN sliced a ON a.slice < s.slice GROUP BY 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for every query that SQL can express on whole tables."""
     sql: dict[str, str] = {}
@@ -470,4 +481,29 @@ FROM texts WHERE length(text) > 20"""
 
     sql["stream_hourly"] = stream_counts(["type", "region"], "1 HOUR", "date_trunc('hour', issued_date)")
     sql["stream_weekly"] = stream_counts(["type"], "7 DAY", "unnest(generate_series(CAST(day AS TIMESTAMP) - INTERVAL 6 DAY, CAST(day AS TIMESTAMP), INTERVAL 1 DAY))")
+    sql["stream_bursts"] = f"""WITH {ARRIVALS}, {watermarks('arrivals')},
+closed AS (SELECT s.* FROM sliced s LEFT JOIN marks USING (slice)
+  WHERE (mark IS NULL OR CAST(day AS TIMESTAMP) + INTERVAL 1 DAY > mark)
+    AND CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 2 DAY FROM events)),
+{daily_of('closed', ['type', 'region'], [], [])}, {burst_stats(['type', 'region'])}
+SELECT type, region, {day()} AS issued_date, total_alerts, {r('rolling_mean')} AS rolling_mean, {r('rolling_std')} AS rolling_std,
+  {r('rolling_mean + 2 * rolling_std')} AS burst_threshold, coalesce({BURST}, false) AS burst FROM flagged"""
+    sql["stream_late_alerts"] = f"""WITH {ARRIVALS},
+sent AS (
+  SELECT alert_id, type, issued_date, arrived, 1 AS sent FROM arrivals
+  UNION ALL
+  SELECT alert_id, type, CASE WHEN alert_id % 5 = 0 THEN issued_date ELSE issued_date + INTERVAL 10 DAY END, arrived + INTERVAL 15 DAY, 2
+  FROM arrivals WHERE alert_id % 5 < 2), {watermarks('sent')},
+judged AS (SELECT s.*, mark, mark IS NULL OR date_trunc('millisecond', issued_date) > mark AS in_time FROM sliced s LEFT JOIN marks USING (slice))
+SELECT alert_id, strftime(a.issued_date, '%Y-%m-%d %H:%M:%S') AS issued_date, a.type, a.sent FROM judged a
+WHERE in_time AND NOT EXISTS (
+  FROM judged b WHERE b.alert_id = a.alert_id AND b.sent = 1 AND a.sent = 2 AND b.in_time AND b.issued_date + INTERVAL 2 DAY > a.mark)"""
+    sql["stream_upserts"] = f"""WITH {ARRIVALS},
+versions AS (
+  SELECT alert_id, issued_date, type, region, severity_score, arrived FROM arrivals
+  UNION ALL
+  SELECT alert_id, issued_date + INTERVAL 3 DAY, 'corrected', region, severity_score, arrived + INTERVAL 15 DAY FROM arrivals WHERE alert_id % 6 = 0),
+latest AS (SELECT *, CAST(issued_date AS DATE) AS day FROM versions QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY arrived DESC) = 1)
+SELECT {day()} AS issued_date, region, count(*) AS total_alerts, {r('avg(severity_score)')} AS severity_score, {type_counts([*EVENT_TYPES, 'corrected'])}
+FROM latest GROUP BY latest.day, region"""
     return sql

@@ -17,7 +17,7 @@ from barograph.operators import anomaly, daily, dedupe, enrich, filters, forecas
 from barograph.session import scratch_dir
 from barograph.sources import adapters, pages
 from barograph.sources.adapters import EVENT_TYPES, ORDER_TYPES, read, read_texts
-from barograph.streaming import jobs
+from barograph.streaming import bursts, jobs, replay, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -575,3 +575,81 @@ def stream_hourly(spark, sf):
 def stream_weekly(spark, sf):
     sliding = jobs.windowed_counts(_event_stream(spark, sf), ["type"], width="7 days", slide="1 day")
     return _run(spark, sliding, "weekly")
+
+
+#: Slices of replays: days of each, counted from here.
+REPLAY_START = "2024-01-01"
+SLICE_DAYS = 14
+
+
+def _arrivals(spark, sf) -> DataFrame:
+    """Events with the time at which they come in: most at once, some after hours, a few after twelve days."""
+    hours = F.when(F.pmod("alert_id", F.lit(100)) == 99, 288).when(F.pmod("alert_id", F.lit(10)) == 9, 44).when(F.pmod("alert_id", F.lit(10)) > 6, 20)
+    alerts = adapters.event_alerts(spark, sf)
+    return alerts.withColumn("arrived", F.col("issued_date") + F.make_dt_interval(hours=F.coalesce(hours, F.lit(0))))
+
+
+def _slice() -> Column:
+    return F.floor(F.datediff(F.to_date("arrived"), F.lit(REPLAY_START).cast("date")) / SLICE_DAYS)
+
+
+def _replayed(spark, rows: DataFrame, purpose: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the slices of ``rows`` has written after the last one."""
+    base = scratch_dir(spark, purpose)
+    made = []
+
+    def start(stream):
+        made.append(change(stream))
+        return jobs.start(made[-1], f"{base}/out", f"{base}/checkpoint")
+
+    replay.replay(rows, _slice(), f"{base}/in", start)
+    return spark.read.schema(made[-1].schema).parquet(f"{base}/out")
+
+
+@query
+def stream_bursts(spark, sf):
+    bursts.use_rocksdb(spark)
+    return _replayed(spark, _arrivals(spark, sf), "bursts", bursts.burst_stream)
+
+
+@query
+def stream_late_alerts(spark, sf):
+    """Alerts sent twice, some unchanged and some with a later time, deduplicated while the watermark moves on."""
+    once = _arrivals(spark, sf).withColumn("sent", F.lit(1))
+    again = once.filter(F.pmod("alert_id", F.lit(5)) < 2).withColumns(
+        {
+            "sent": F.lit(2),
+            "arrived": F.col("arrived") + F.make_dt_interval(days=F.lit(15)),
+            "issued_date": F.when(F.pmod("alert_id", F.lit(5)) == 0, F.col("issued_date")).otherwise(F.col("issued_date") + F.make_dt_interval(days=F.lit(10))),
+        }
+    )
+    kept = _replayed(spark, once.union(again), "late", lambda stream: jobs.dedupe_stream(stream, lateness="2 days"))
+    return kept.select("alert_id", "issued_date", "type", "sent")
+
+
+@query
+def stream_upserts(spark, sf):
+    """Daily counts by region after slices of alerts, corrected ones that change day and type, and a batch that comes twice."""
+    base = scratch_dir(spark, "upserts")
+    first = _arrivals(spark, sf)
+    corrected = first.filter(F.pmod("alert_id", F.lit(6)) == 0).withColumns(
+        {
+            "arrived": F.col("arrived") + F.make_dt_interval(days=F.lit(15)),
+            "issued_date": F.col("issued_date") + F.make_dt_interval(days=F.lit(3)),
+            "type": F.lit("corrected"),
+        }
+    )
+    rows = first.union(corrected).withColumn("issued_date", F.col("issued_date").cast("timestamp"))
+    table = store.DayStore(spark, f"{base}/alerts", rows.schema, order=["arrived"], fan_in=3)
+    recount = store.recount_days(table, f"{base}/daily", ["region"], [*EVENT_TYPES, "corrected"])
+
+    def twice(batch, batch_id):
+        recount(batch, batch_id)
+        recount(batch, batch_id)
+
+    def start(stream):
+        return stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    replay.replay(rows, _slice(), f"{base}/in", start)
+    table.vacuum()
+    return spark.read.parquet(f"{base}/daily").filter("total_alerts > 0").drop("day")

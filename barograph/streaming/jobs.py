@@ -1,23 +1,19 @@
-"""Incremental ingest, deduplication, counts and flags.
+"""Incremental ingest, deduplication, counts and enrichment.
 
-All operators take and give streaming DataFrames; where a batch operator needs
-whole days, ``foreachBatch`` recomputes just the days a batch touches.
+All operators take and give streaming DataFrames. Burst flags are in ``bursts``,
+upserts and recounted days in ``store``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from barograph.operators.daily import daily_counts, fill_days
-from barograph.operators.dedupe import keep_last
 from barograph.operators.enrich import process_alerts
-from barograph.operators.series import burst_flags
-from barograph.schemas import ALERT_TYPES
 
 
 def read_alert_stream(
@@ -74,79 +70,3 @@ def windowed_counts(
 def enrich_stream(df: DataFrame, **options) -> DataFrame:
     """The per-alert enrichment on a stream; it keeps no state."""
     return process_alerts(df, **options)
-
-
-def upsert_days(table: str, keys: Sequence[str] = ("alert_id",), ts: str = "issued_date") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps the last version of each alert in a day-partitioned table.
-
-    Each micro-batch is written to a partition of its own, named by its
-    number, which makes a replay overwrite instead of append. Readers merge
-    the versions with ``read_upserts``.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        days = batch.filter(F.col(ts).isNotNull()).withColumns({"day": F.to_date(ts), "batch_seq": F.lit(batch_id).cast("long")})
-        latest = keep_last(days, list(keys), ["batch_seq", ts])
-        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_seq", "day").parquet(table)
-
-    return write
-
-
-def read_upserts(spark: SparkSession, table: str, keys: Sequence[str] = ("alert_id",), ts: str = "issued_date") -> DataFrame:
-    """The latest version of every alert of an upserted table."""
-    return keep_last(spark.read.parquet(table), list(keys), ["batch_seq", ts])
-
-
-def recompute_days(
-    table: str, daily: str, keys: Sequence[str] = (), types: Sequence[str] = ALERT_TYPES, id_cols: Sequence[str] = ("alert_id",), ts: str = "issued_date"
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that upserts a batch and recounts the days it touches.
-
-    An alert may move to another day, so the days of the versions it replaces
-    are recounted too. ``daily`` is partitioned by day and only the touched
-    partitions are written; a day left without alerts keeps one row of zeros,
-    whose keys are null.
-    """
-    store = upsert_days(table, id_cols, ts)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        store(batch, batch_id)
-        versions = spark.read.parquet(table)
-        ids = versions.filter(F.col("batch_seq") == batch_id).select(*id_cols).distinct()
-        touched = versions.join(ids, list(id_cols), "left_semi").select("day").distinct()
-        # Alerts last seen on a touched day may have been moved away, so the
-        # versions of all alerts that were ever there decide.
-        members = versions.join(touched, "day", "left_semi").select(*id_cols).distinct()
-        current = keep_last(versions.join(members, list(id_cols), "left_semi"), list(id_cols), ["batch_seq", ts])
-        counted = daily_counts(current.join(touched, "day", "left_semi"), keys, types, ts, id_cols[0])
-        recounted = touched.select(F.col("day").alias("issued_date")).join(counted, "issued_date", "left")
-        numeric = [c for c in counted.columns if c != "issued_date" and c not in keys]
-        recounted.na.fill(0, numeric).withColumn("day", F.col("issued_date")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("day").parquet(daily)
-
-    return write
-
-
-def flag_bursts(daily: str, target: str, keys: Sequence[str] = (), window: int = 7, k: float = 2.0) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink for a stream of windowed counts that keeps burst flags current.
-
-    The counts of each batch join the stored daily series; flags are computed
-    on the series, which has one row per key and day.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        counts = batch.groupBy(*keys, F.to_date("window_start").alias("issued_date")).agg(F.sum("total_alerts").alias("total_alerts"))
-        numbered = counts.withColumn("batch_seq", F.lit(batch_id).cast("long"))
-        numbered.write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_seq").parquet(daily)
-        # A first batch without closed windows writes no file to take a schema from.
-        stored = spark.read.schema(numbered.schema).parquet(daily)
-        series = stored.groupBy(*keys, "issued_date").agg(F.sum("total_alerts").alias("total_alerts"))
-        flags = burst_flags(fill_days(series, keys), window, k, keys=keys)
-        flags.write.mode("overwrite").parquet(target)
-
-    return write

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from barograph.plans import workflows
 from barograph.session import scratch_dir
 from barograph.sources import pages, tables
 from barograph.sources.adapters import EVENT_TYPES, event_alerts
-from barograph.streaming import jobs
+from barograph.streaming import bursts, jobs, replay
+from barograph.streaming.store import DayStore, recount_days
 
 LISTED = """<html><body><div class="alert-item extra"><a class="alert-title" href="/a/1"> Flood &amp; Storm Warning </a>
 <div class="row"><div>Area:</div><div>Cook County</div></div><div class="row"><div>Severity:</div><div>Severe</div></div>
@@ -141,37 +143,113 @@ def test_enriched_stream_equals_batch(spark, sf, tmp_path):
     assert got == sorted(map(str, process_alerts(stored).select(columns).collect()))
 
 
+ALERT = "alert_id string, issued_date timestamp, type string"
+DAYS = [dt.datetime(2024, 1, d) for d in range(1, 9)]
+
+
+def day_store(spark, folder, **options):
+    return DayStore(spark, str(folder), spark.createDataFrame([], ALERT).schema, **options)
+
+
+def stored_rows(store, days=None):
+    return sorted((r["alert_id"] or "", str(r["issued_date"])[:10], r["type"]) for r in store.read(days).collect())
+
+
 def test_upserts_recount_the_touched_days(spark, tmp_path):
-    schema = "alert_id string, issued_date timestamp, type string"
-    table, daily = str(tmp_path / "table"), str(tmp_path / "daily")
-    sink = jobs.recompute_days(table, daily, types=["flood"])
-    day = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
-    sink(spark.createDataFrame([("a", day[0], "flood"), ("b", day[0], "storm"), ("c", day[1], "flood")], schema), 0)
-    sink(spark.createDataFrame([("a", day[2], "flood")], schema), 1)
+    daily = str(tmp_path / "daily")
+    store = day_store(spark, tmp_path / "table")
+    sink = recount_days(store, daily, types=["flood"])
 
     def counts():
         return {str(r["issued_date"]): (r["total_alerts"], r["flood"]) for r in spark.read.parquet(daily).collect()}
 
+    sink(spark.createDataFrame([("a", DAYS[0], "flood"), ("b", DAYS[0], "storm"), ("c", DAYS[1], "flood")], ALERT), 0)
+    sink(spark.createDataFrame([("a", DAYS[2], "flood")], ALERT), 1)
     assert counts() == {"2024-01-01": (1, 0), "2024-01-02": (1, 1), "2024-01-03": (1, 1)}
-    assert jobs.read_upserts(spark, table).count() == 3
-    sink(spark.createDataFrame([("a", day[2], "flood")], schema), 1)
-    assert counts() == {"2024-01-01": (1, 0), "2024-01-02": (1, 1), "2024-01-03": (1, 1)}
-    sink(spark.createDataFrame([("b", day[1], "flood")], schema), 2)
+    assert store.read().count() == 3
+    for again in (1, 0):
+        sink(spark.createDataFrame([("a", DAYS[2], "flood")], ALERT), again)
+        assert counts() == {"2024-01-01": (1, 0), "2024-01-02": (1, 1), "2024-01-03": (1, 1)}
+    sink(spark.createDataFrame([("b", DAYS[1], "flood")], ALERT), 2)
     assert counts() == {"2024-01-01": (0, 0), "2024-01-02": (2, 2), "2024-01-03": (1, 1)}
 
 
-def test_stream_of_bursts(spark, sf, tmp_path):
-    alerts = as_files(spark, sf, str(tmp_path / "in"), 3)
-    stream = jobs.read_alert_stream(spark, str(tmp_path / "in"), alerts.schema, files_per_trigger=1)
-    counts = jobs.windowed_counts(stream, ["type"], width="1 day")
-    sink = jobs.flag_bursts(str(tmp_path / "daily"), str(tmp_path / "flags"), ["type"])
-    counts.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "flags"))
-    closed = got.agg(F.max("issued_date")).first()[0]
-    batch = daily_series(alerts.filter(F.to_date("issued_date") <= F.lit(closed)), ["type"], (), type_col="none")
-    expected = burst_flags(batch, keys=["type"])
-    columns = ["type", "issued_date", "total_alerts", "burst"]
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+def test_store_keeps_the_last_version(spark, tmp_path):
+    """Random batches with moves to and fro, null keys and times; folded and vacuumed on the way."""
+    rng = random.Random(1)
+    store, expected = day_store(spark, tmp_path / "table", buckets=3, fan_in=3), {}
+    for batch in range(7):
+        rows = [(rng.choice([*"abcdefghij", None]), rng.choice([*DAYS, None]), f"{batch}-{i}") for i in range(rng.randrange(1, 8))]
+        last = {}
+        for key, time, kind in rows:
+            # Of equal keys the latest time wins, null before all, then the largest row.
+            if key not in last or (time or dt.datetime.min, kind) > (last[key][0] or dt.datetime.min, last[key][1]):
+                last[key] = (time, kind)
+        expected |= last
+        store.upsert(spark.createDataFrame(rows, ALERT), batch)
+        store.vacuum()
+        assert stored_rows(store) == sorted((k or "", str(t)[:10], kind) for k, (t, kind) in expected.items())
+    commit = store.latest()
+    assert max(map(len, commit.days.values())) < 3 and max(map(len, commit.buckets.values())) < 3
+    on = stored_rows(store, ["2024-01-03"])
+    assert on == sorted((k or "", str(t)[:10], kind) for k, (t, kind) in expected.items() if t == DAYS[2])
+
+
+def test_store_reads_only_touched_days(spark, tmp_path):
+    store = day_store(spark, tmp_path / "table")
+    store.upsert(spark.createDataFrame([(str(i), d, "flood") for i, d in enumerate(DAYS)], ALERT), 0)
+    assert store.upsert(spark.createDataFrame([("0", DAYS[5], "storm")], ALERT), 1) == ["2024-01-01", "2024-01-06"]
+    read = {part for f in store.read(["2024-01-06"]).inputFiles() for part in f.split("/") if part.startswith("_day=")}
+    assert read == {"_day=2024-01-06"}
+    assert stored_rows(store, ["2024-01-01"]) == [] and len(stored_rows(store, ["2024-01-06"])) == 2
+
+
+def test_failed_batch_leaves_nothing_that_counts(spark, tmp_path, monkeypatch):
+    store = day_store(spark, tmp_path / "table")
+    store.upsert(spark.createDataFrame([("a", DAYS[0], "flood")], ALERT), 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(DayStore, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.upsert(spark.createDataFrame([("a", DAYS[1], "storm"), ("b", DAYS[1], "storm")], ALERT), 1)
+    assert stored_rows(store) == [("a", "2024-01-01", "flood")]
+    store.upsert(spark.createDataFrame([("a", DAYS[2], "fire")], ALERT), 1)
+    assert stored_rows(store) == [("a", "2024-01-03", "fire")]
+    assert stored_rows(day_store(spark, tmp_path / "new")) == []
+
+
+@pytest.fixture
+def rocksdb(spark):
+    before = spark.conf.get(bursts.STATE_STORE)
+    bursts.use_rocksdb(spark)
+    yield
+    spark.conf.set(bursts.STATE_STORE, before)
+
+
+def test_stream_of_bursts(spark, tmp_path, rocksdb):
+    """Gaps, a silent key, late and out-of-order alerts; one series without keys too."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(900):
+        key, day = rng.choice("aab"), rng.choice([1, 2, 3, 4, 5, 9, 10, 11, 24, 25, 26])
+        rows.append((str(i), dt.datetime(2024, 1, day, rng.randrange(24)), key if day != 24 else "c", (day + rng.randrange(2)) // 8))
+    alerts = spark.createDataFrame(rows, "alert_id string, issued_date timestamp, type string, slice int")
+    for keys in (["type"], []):
+        base = str(tmp_path / ("keyed" if keys else "one"))
+
+        def start(stream, keys=keys, base=base):
+            return jobs.start(bursts.burst_stream(stream, keys, lateness="1 day"), f"{base}/out", f"{base}/cp")
+
+        replay.replay(alerts, F.col("slice"), f"{base}/in", start)
+        got = spark.read.parquet(f"{base}/out")
+        marks = {s: max((r[1] for r in rows if r[3] < s), default=dt.datetime.min) for s in {r[3] for r in rows}}
+        end = max(r[1] for r in rows) - dt.timedelta(days=1)
+        closes = [r[1].replace(hour=0) + dt.timedelta(days=1) for r in rows]
+        kept = [r for r, c in zip(rows, closes) if (marks[r[3]] == dt.datetime.min or c > marks[r[3]] - dt.timedelta(days=1)) and c <= end]
+        assert 0 < len(kept) < len(rows)
+        batch = daily_series(spark.createDataFrame(kept, alerts.schema), keys, (), type_col="none")
+        expected = burst_flags(batch, keys=keys)
+        columns = [*keys, "issued_date", "total_alerts", F.round("burst_threshold", 9), "burst"]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, expected.select(columns).collect()))
 
 
 # The whole run ----------------------------------------------------------------
