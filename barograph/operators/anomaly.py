@@ -8,7 +8,7 @@ the forest are small tables.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,15 +16,15 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.functions.severity import confidence_bin
 from barograph.functions.timeparts import day_parts
 from barograph.functions.display import fixed
 from barograph.operators.filters import existing_columns
-from barograph.operators.quantile import exact_quantile
 from barograph.operators.series import lag_features, zscores
+from barograph.operators.trees import walk
 from barograph.schemas import ALERT_TYPES, DOMINANT_TYPES
 
 NUMERIC_FEATURES = [
@@ -41,6 +41,7 @@ LAGS = (1, 2, 3, 7)
 MIN_ROWS = 10
 EULER = 0.5772156649
 NODE = "feature int, threshold double, left int, right int, size int"
+NODES = f"array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>"
 RESULT_COLUMNS = ["anomaly_score", "is_anomaly", "anomaly_confidence", "anomaly_severity"]
 
 
@@ -127,61 +128,35 @@ def build_forest(points: DataFrame, keys: Sequence[str], n_rows: int, n_trees: i
             {"tree_id": [tree], "sample_size": [len(chosen)], "nodes": [[dict(zip(names, n)) for n in nodes]]}
         )
 
-    schema = f"tree_id int, sample_size int, nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>"
+    schema = f"tree_id int, sample_size int, nodes {NODES}"
     return drawn.groupBy("tree_id").applyInPandas(build, schema)
 
 
-def _flatten(trees: list[Row]) -> dict[str, np.ndarray]:
-    """All trees in one set of node arrays; ``roots`` are the first nodes."""
-    roots, columns, at = [], {c: [] for c in ("feature", "threshold", "left", "right", "size")}, 0
-    for tree in trees:
-        roots.append(at)
-        for node in tree["nodes"]:
-            leaf = node["feature"] < 0
-            columns["feature"].append(max(node["feature"], 0))
-            columns["threshold"].append(node["threshold"])
-            # A leaf leads to itself.
-            own = len(columns["left"])
-            columns["left"].append(own if leaf else at + node["left"])
-            columns["right"].append(own if leaf else at + node["right"])
-            columns["size"].append(node["size"])
-        at += len(tree["nodes"])
-    return {"roots": np.array(roots), **{c: np.array(v) for c, v in columns.items()}}
+def path_length(size: Column) -> Column:
+    """``average_path`` of a column."""
+    usual = 2.0 * (F.ln(size - 1) + EULER) - 2.0 * (size - 1) / size
+    return F.when(size > 2, usual).when(size == 2, 1.0).otherwise(0.0)
 
 
 def score_rows(points: DataFrame, trees: list[Row]) -> DataFrame:
     """Add ``raw``, minus the anomaly score of the paper (lower is more unusual).
 
-    The forest holds at most ``n_trees * (2 * max_samples - 1)`` nodes, so the
-    broadcast is bounded by the model's parameters, not by the data.
+    The forest is a single value of at most ``n_trees * (2 * max_samples - 1)`` nodes,
+    bounded by the model's parameters, and each row of ``x`` walks it by column
+    functions alone.
     """
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast(_flatten(trees))
     sample = max(t["sample_size"] for t in trees)
     depth = math.ceil(math.log2(max(sample, 2)))
     norm = float(average_path(np.array(sample))) or 1.0
+    rows = [(i, t["nodes"]) for i, t in enumerate(trees)]
+    table = points.sparkSession.createDataFrame(rows, f"tree_id int, nodes {NODES}")
+    forest = table.agg(F.sort_array(F.collect_list(F.struct("tree_id", "nodes")))).scalar()
 
-    @F.pandas_udf("double")
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        forest = shared.value
-        leaf_path = average_path(forest["size"])
-        for batch in batches:
-            if batch.empty:
-                yield pd.Series([], dtype=float)
-                continue
-            x = np.stack(batch.to_list())
-            node = np.tile(forest["roots"], (len(x), 1))
-            steps = np.zeros(node.shape)
-            row = np.arange(len(x))[:, None]
-            for _ in range(depth):
-                goes_left = x[row, forest["feature"][node]] <= forest["threshold"][node]
-                following = np.where(goes_left, forest["left"][node], forest["right"][node])
-                steps += following != node
-                node = following
-            mean_path = (steps + leaf_path[node]).mean(axis=1)
-            yield pd.Series(-np.power(2.0, -mean_path / norm))
-
-    return points.withColumn("raw", raw("x"))
+    def add(total: Column, tree: Column) -> Column:
+        return total + walk(F.col("x"), tree["nodes"], depth, lambda node, steps: steps + path_length(node["size"]))
+
+    mean_path = F.aggregate("_forest", F.lit(0.0), add) / len(trees)
+    return points.withColumn("_forest", forest).withColumn("raw", -F.pow(F.lit(2.0), -mean_path / norm)).drop("_forest")
 
 
 @dataclass
@@ -217,7 +192,7 @@ class AnomalyModel:
         """Write the model below ``path`` in Spark's own formats."""
         spark = SparkSession.active()
         self.projection.write().overwrite().save(f"{path}/projection")
-        schema = f"tree_id int, sample_size int, nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>"
+        schema = f"tree_id int, sample_size int, nodes {NODES}"
         spark.createDataFrame(self.trees, schema).write.mode("overwrite").parquet(f"{path}/forest")
         meta = [(self.features, self.offset, self.types, self.keys, self.contamination, self.seed)]
         columns = "features array<string>, offset double, types array<string>, keys array<string>, contamination double, seed int"
@@ -260,9 +235,7 @@ def fit_anomaly_model(
         projection = PipelineModel([assembled, scaler, pca, slicer])
         points = projection.transform(rows).select(*keys, day, vector_to_array("selected").alias("x"))
         trees = build_forest(points, [*keys, day], n_rows, n_trees, max_samples, seed).orderBy("tree_id").collect()
-        raw = score_rows(points, trees).select("raw").persist()
-        offset = exact_quantile(raw, "raw", contamination)
-        raw.unpersist()
+        offset = score_rows(points, trees).agg(F.percentile("raw", F.lit(contamination))).first()[0]
     finally:
         rows.unpersist()
     return AnomalyModel(names, projection, trees, offset, list(types), list(keys), contamination, seed)

@@ -1,16 +1,14 @@
-"""Duplicates, filters, skewed joins and exact quantiles."""
+"""Duplicates, filters and skewed joins."""
 
 from __future__ import annotations
 
 import datetime as dt
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barograph.operators import dedupe, enrich, filters
-from barograph.operators.quantile import exact_quantile
 from barograph.operators.skew import join_on_frequent_key
 
 
@@ -86,25 +84,6 @@ def test_frequent_keys_join_like_any_other(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("shape", ["normal", "ties", "constant", "outlier", "tiny"])
-@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.9, 1.0])
-def test_exact_quantile(spark, shape, q):
-    rng = np.random.default_rng(7)
-    values = {
-        "normal": rng.normal(size=4000),
-        "ties": rng.integers(0, 4, 4000).astype(float),
-        "constant": np.full(4000, 2.5),
-        "outlier": np.append(rng.normal(size=3999), 1e12),
-        "tiny": np.array([3.0, 1.0]),
-    }[shape]
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    assert exact_quantile(df, "x", q, limit=50) == pytest.approx(np.quantile(values, q), rel=1e-12)
-
-
-def test_exact_quantile_of_nothing(spark):
-    assert exact_quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5) is None
-
-
 def test_process_alerts_with_minimal_columns(spark):
     raw = spark.createDataFrame(
         [("1", "Flood WARNING", "River at 5 feet!", "soon", "2024-03-04 05:06:07"), ("2", None, None, "2024-03-05", "x")],
