@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from barograph.functions.wordlists import DEFAULT_LEXICON, STOP_WORDS, URGENCY_WORDS
 from barograph.schemas import ALERT_TYPES, CATEGORY_OF_TYPE, TYPE_PHRASES
+from barograph.sources.tables import DEFAULT_INSIGHTS
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 ORDER_TYPES = ["urgent", "high", "medium", "not_specified", "low"]
@@ -506,4 +507,176 @@ versions AS (
 latest AS (SELECT *, CAST(issued_date AS DATE) AS day FROM versions QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY arrived DESC) = 1)
 SELECT {day()} AS issued_date, region, count(*) AS total_alerts, {r('avg(severity_score)')} AS severity_score, {type_counts([*EVENT_TYPES, 'corrected'])}
 FROM latest GROUP BY latest.day, region"""
+    sql |= model_sql(order_daily, order_full)
+    sql["stream_enriched"] = sql["processed_alerts"]
+    defaults = ", ".join(f"({-i}, {quoted([t])})" for i, t in enumerate(DEFAULT_INSIGHTS, 1))
+    sql["stored_insights"] = f"""SELECT CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS seq, text FROM ({sql['insight_rules']})
+UNION ALL SELECT CAST(i AS INTEGER), t FROM (VALUES {defaults}) d(i, t)"""
+    return sql
+
+
+def model_sql(order_daily: str, order_full: str) -> dict[str, str]:
+    """SQL of models with fixed or closed-form parameters and of what follows from flags and forecasts."""
+    sql: dict[str, str] = {}
+    names = ["total_alerts", "urgent", "high"]
+    size = "(tree + place) % 5 + 1"
+    sql["forest_scores"] = f"""{order_full.replace('WITH ', 'WITH RECURSIVE ', 1)},
+bounds AS (SELECT {', '.join(f'CAST(min({c}) AS DOUBLE) AS lo{i}, CAST(max({c}) AS DOUBLE) AS hi{i}' for i, c in enumerate(names))} FROM series),
+rows AS (SELECT day, [{', '.join(f'CAST({c} AS DOUBLE)' for c in names)}] AS x FROM series),
+walk AS (
+  SELECT day, x, tree, CAST(0 AS BIGINT) AS place, 0 AS steps FROM rows, range(12) t(tree)
+  UNION ALL
+  SELECT day, x, tree, 2 * place + CASE WHEN x[(tree + place) % 3 + 1] <= [lo0, lo1, lo2][(tree + place) % 3 + 1]
+    + ([hi0, hi1, hi2][(tree + place) % 3 + 1] - [lo0, lo1, lo2][(tree + place) % 3 + 1]) * CAST((tree * 7 + place * 13) % 17 + 1 AS DOUBLE) / CAST(18 AS DOUBLE) THEN 1 ELSE 2 END, steps + 1
+  FROM walk, bounds WHERE place < 7),
+leaves AS (SELECT day, steps + CASE WHEN {size} > 2 THEN 2 * (ln({size} - 1) + 0.5772156649) - 2.0 * ({size} - 1) / ({size}) WHEN {size} = 2 THEN 1.0 ELSE 0.0 END AS path
+  FROM walk WHERE place >= 7)
+SELECT {day()} AS issued_date, {r('-pow(2.0, -avg(path) / (2 * (ln(7) + 0.5772156649) - 2.0 * 7 / 8))')} AS raw FROM leaves GROUP BY day"""
+
+    targets = ["total_alerts", *ORDER_TYPES]
+    long = " UNION ALL ".join(f"SELECT '{t}' AS target, day, CAST({t} AS DOUBLE) AS y FROM series" for t in targets)
+    sql["cv_naive"] = f"""{order_full}, long AS ({long}),
+counted AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY day) - 1 AS row, count(*) OVER (PARTITION BY target) AS n FROM long),
+sized AS (SELECT *, least(5, n // 20) AS k, n // (least(5, n // 20) + 1) AS block FROM counted),
+folds AS (SELECT *, (row - (n - k * block)) // block + 1 AS fold, n - k * block + (row - (n - k * block)) // block * block AS first FROM sized WHERE row >= n - k * block),
+met AS (SELECT f.target, f.fold, f.y, abs(f.y - c.y) AS miss FROM folds f JOIN counted c ON c.target = f.target AND c.row = f.first - 7 + (f.row - f.first) % 7),
+errors AS (SELECT target, fold, avg(miss) AS mae, sqrt(avg(miss * miss)) AS rmse, avg(CASE WHEN y <> 0 THEN miss / abs(y) END) * 100 AS mape FROM met GROUP BY 1, 2)
+SELECT target, {r('avg(mae)')} AS mean_mae, {r('stddev_pop(mae)')} AS std_mae, {r('avg(rmse)')} AS mean_rmse, {r('stddev_pop(rmse)')} AS std_rmse,
+  {r('avg(mape)')} AS mean_mape, CAST(count(*) AS INTEGER) AS n_folds FROM errors GROUP BY 1"""
+
+    def least_squares(long: str, keys: str, cut: str = "") -> str:
+        """CTEs ``long``, ``fitted`` (line over the last week's mean) and ``steps`` (seven days ahead)."""
+        by = f"PARTITION BY {keys} ORDER BY day"
+        return f"""long AS ({long}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY day DESC) AS k FROM long),
+used AS (SELECT * EXCLUDE (k) FROM ranked {cut}),
+pairs AS (SELECT *, avg(y) OVER ({by} ROWS 6 PRECEDING) AS m, lead(y) OVER ({by}) AS label, lag(y, 30) OVER ({by}) AS l30 FROM used),
+fitted AS (SELECT {keys}, coalesce(regr_slope(label, m), 0.0) AS b, avg(label) - coalesce(regr_slope(label, m), 0.0) * avg(m) AS a,
+  sqrt(greatest(var_pop(label) - coalesce(regr_slope(label, m), 0.0) * covar_pop(m, label), 0.0)) AS rmse
+  FROM pairs WHERE label IS NOT NULL AND l30 IS NOT NULL GROUP BY {keys}),
+steps AS (
+  SELECT {keys}, a, b, rmse, max(day) AS day, list(y ORDER BY day)[-7:] AS last, CAST(NULL AS DOUBLE) AS forecast, 0 AS step FROM used JOIN fitted USING ({keys}) GROUP BY ALL
+  UNION ALL
+  SELECT {keys}, a, b, rmse, CAST(day + INTERVAL 1 DAY AS DATE), list_append(last[2:], greatest(a + b * list_avg(last), 0.0)), greatest(a + b * list_avg(last), 0.0), step + 1
+  FROM steps WHERE step < 7)"""
+
+    chosen = " UNION ALL ".join(f"SELECT '{t}' AS target, day, CAST({t} AS DOUBLE) AS y FROM series" for t in names)
+    recursive = order_full.replace("WITH ", "WITH RECURSIVE ", 1)
+    linear = f"{recursive}, {least_squares(chosen, 'target')}"
+    spread = "1.96 * stddev_pop(forecast) OVER (PARTITION BY target)"
+    sql["forecast_linear"] = f"""{linear}
+SELECT {day()} AS date, target, {r('forecast')} AS forecast, {r(f'greatest(forecast - {spread}, 0)')} AS lower_bound, {r(f'forecast + {spread}')} AS upper_bound
+FROM steps WHERE step > 0"""
+    located = f"""WITH RECURSIVE located AS (SELECT CAST(o_orderdate AS DATE) AS day, n_name AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+{daily_of('located', ['region'], [], [])}, {least_squares('SELECT region, day, CAST(total_alerts AS DOUBLE) AS y FROM series', 'region')}"""
+    sql["forecast_linear_residual"] = f"""{located}
+SELECT region, {day()} AS date, 'total_alerts' AS target, {r('forecast')} AS forecast, {r('greatest(forecast - 1.96 * rmse, 0)')} AS lower_bound, {r('forecast + 1.96 * rmse')} AS upper_bound
+FROM steps WHERE step > 0"""
+    weighed = "greatest(-4.0 + 0.5 * last[-7] + 0.25 * (last[-1] + last[-2] + last[-3]) / 3 + 0.5 * (last[-1] - last[-2]), 0.0)"
+    alone = "1.96 * stddev_pop(forecast) OVER ()"
+    sql["forecast_weighted"] = f"""{order_daily.replace('WITH ', 'WITH RECURSIVE ', 1)},
+steps AS (
+  SELECT max(day) AS day, list(CAST(total_alerts AS DOUBLE) ORDER BY day)[-8:] AS last, CAST(NULL AS DOUBLE) AS forecast, 0 AS step FROM series
+  UNION ALL
+  SELECT CAST(day + INTERVAL 1 DAY AS DATE), list_append(last, {weighed}), {weighed}, step + 1 FROM steps WHERE step < 7)
+SELECT {day()} AS date, 'total_alerts' AS target, {r('forecast')} AS forecast, {r(f'greatest(forecast - {alone}, 0)')} AS lower_bound, {r(f'forecast + {alone}')} AS upper_bound
+FROM steps WHERE step > 0"""
+    sql["forecast_summary"] = f"""{linear}
+SELECT {r('avg(forecast)')} AS avg_forecast, {r('max(forecast)')} AS max_forecast, {r('min(forecast)')} AS min_forecast FROM steps WHERE step > 0 AND target = 'total_alerts'"""
+    sql["forecast_errors"] = f"""{recursive}, {least_squares(chosen, 'target', 'WHERE k > 7')},
+met AS (SELECT s.day, s.target, s.forecast, l.y AS actual, abs(s.forecast - l.y) AS abs_error FROM steps s JOIN long l ON l.target = s.target AND l.day = s.day WHERE step > 0)
+SELECT {day()} AS date, target, {r('forecast')} AS forecast, {r('actual')} AS actual, {r('abs_error')} AS abs_error, {r('avg(abs_error) OVER (PARTITION BY target)')} AS mae FROM met"""
+    sql["placeholder_forecast"] = """SELECT strftime(CAST(max(o_orderdate) AS DATE) + CAST(i + 1 AS INTEGER), '%Y-%m-%d') AS date, 'total_alerts' AS target,
+  CAST(20 AS DOUBLE) AS forecast, CAST(15 AS DOUBLE) AS lower_bound, CAST(25 AS DOUBLE) AS upper_bound FROM orders, range(7) t(i) GROUP BY i"""
+
+    w = "OVER (ORDER BY day"
+    lagged = [f"{r(f'coalesce(lag(total_alerts, {k}) {w}), 0)')} AS lag_{k}" for k in range(1, 31)]
+    rolled = []
+    for n in (3, 7, 14, 30):
+        frame = f"{w} ROWS {n - 1} PRECEDING)"
+        rolled += [f"{r(f'{f}(total_alerts) {frame}')} AS rolling_{name}_{n}" for f, name in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))]
+    calendar = {
+        "day_of_week": "isodow(day) - 1", "day_of_month": "day(day)", "week_of_year": "weekofyear(day)", "month": "month(day)", "quarter": "quarter(day)", "year": "year(day)",
+        "day_of_week_sin": "sin(2 * pi() * (isodow(day) - 1) / 7)", "day_of_week_cos": "cos(2 * pi() * (isodow(day) - 1) / 7)",
+        "month_sin": "sin(2 * pi() * month(day) / 12)", "month_cos": "cos(2 * pi() * month(day) / 12)",
+    }
+    changed = []
+    for k in (1, 7):
+        before = f"lag(total_alerts, {k}) {w})"
+        changed += [f"{r(f'total_alerts - {before}')} AS diff_{k}", f"{r(f'coalesce(CAST(total_alerts - {before} AS DOUBLE) / nullif({before}, 0), 0)')} AS pct_change_{k}"]
+    sql["forecast_values"] = f"""{order_daily}, {NUMBERED},
+smooth AS (SELECT a.day, {', '.join(ema(x) for x in (0.1, 0.3, 0.5))} FROM numbered a JOIN numbered b ON b.rn <= a.rn GROUP BY a.day),
+wide AS (SELECT day, rn, {r(f'lead(total_alerts) {w})')} AS label, {', '.join([*lagged, *rolled, *(f'{r(e)} AS {c}' for c, e in calendar.items()), *changed])} FROM numbered)
+SELECT {day('wide.day')} AS issued_date, wide.* EXCLUDE (day, rn), smooth.* EXCLUDE (day) FROM wide JOIN smooth USING (day) WHERE rn > 30"""
+
+    z30 = f"coalesce((total_alerts - avg(total_alerts) {w} ROWS 29 PRECEDING)) / CASE WHEN stddev_samp(total_alerts) {w} ROWS 29 PRECEDING) = 0 THEN 1.0 ELSE stddev_samp(total_alerts) {w} ROWS 29 PRECEDING) END, 0.0)"
+    z7 = z30.replace("29", "6")
+    parts = {"day_of_week": "isodow(day) - 1", "day_of_year": "dayofyear(day)", "month": "month(day)", "week_of_year": "weekofyear(day)"}
+    trend = {
+        "alert_intensity": "round(total_alerts * severity_score, 3)",
+        "7_day_avg": f"avg(total_alerts) {w} ROWS 6 PRECEDING)",
+        "30_day_avg": f"avg(total_alerts) {w} ROWS 29 PRECEDING)",
+        "day_over_day_change": f"coalesce(CAST(total_alerts - lag(total_alerts) {w}) AS DOUBLE) / nullif(lag(total_alerts) {w}), 0) * 100, 0)",
+        "rolling_std_7": f"coalesce(stddev_samp(total_alerts) {w} ROWS 6 PRECEDING), 0)",
+        "rolling_std_30": f"coalesce(stddev_samp(total_alerts) {w} ROWS 29 PRECEDING), 0)",
+        "z_score_7": z7,
+        "z_score_30": z30,
+    }
+    plain = ["total_alerts", *ORDER_TYPES]
+    values = [("severity_score", "round(severity_score, 3)"), *((c, c) for c in plain), *parts.items(), *trend.items(), *((f"lag_{k}", f"coalesce(lag(total_alerts, {k}) {w}), 0)") for k in (1, 2, 3, 7))]
+    sql["anomaly_values"] = f"""{order_full} SELECT {day()} AS issued_date, {', '.join(f'{r(e)} AS "{c}"' for c, e in values)} FROM series"""
+
+    flagged = f"""{order_full}, scored AS (SELECT *, avg(total_alerts) {w} ROWS 6 PRECEDING) AS mean7, (2 - abs({z30})) / 4 AS score FROM series),
+flags AS (SELECT *, score < 0 AS hit, abs(score) AS confidence,
+  CASE WHEN abs(score) <= 0.1 THEN 'low' WHEN abs(score) <= 0.3 THEN 'medium' WHEN abs(score) <= 0.5 THEN 'high' ELSE 'critical' END AS severity FROM scored)"""
+    sql["flagged_table"] = f"""{flagged} SELECT {day()} AS "Date", total_alerts AS "Alert Count", severity AS "Severity Level", format('{{:.3f}}', confidence) AS "Confidence Score",
+  CAST(list_position(['low', 'medium', 'high', 'critical'], severity) AS INTEGER) AS rank FROM flags WHERE hit"""
+    sql["flagged_severe"] = f"{flagged} SELECT {day()} AS issued_date, total_alerts, severity AS anomaly_severity FROM flags WHERE hit AND severity <> 'low'"
+    sql["flagged_breakdown"] = f"{flagged} SELECT severity AS anomaly_severity, count(*) AS n FROM flags WHERE hit GROUP BY 1"
+    sql["flagged_summary"] = f"""{flagged} SELECT count(*) FILTER (hit) AS total_anomalies, count(*) AS total_days, {r('100.0 * count(*) FILTER (hit) / count(*)')} AS anomaly_rate,
+  count(*) FILTER (hit AND severity IN ('high', 'critical')) AS high_severity FROM flags"""
+    sql["flagged_timeline"] = f"""{flagged} SELECT {day()} AS issued_date, total_alerts, {r('mean7')} AS "7_day_avg", {r('round(severity_score * 100, 3)')} AS severity_index, hit AS is_anomaly,
+  CASE WHEN hit THEN severity END AS anomaly_severity FROM flags"""
+    deviation = "(total_alerts - mean7) / nullif(mean7, 0) * 100"
+    best = f"greatest({', '.join(ORDER_TYPES)})"
+    first = "CASE " + " ".join(f"WHEN {t} = {best} THEN '{t}'" for t in ORDER_TYPES) + " END"
+    reasons = f"""list_filter([CASE WHEN abs({deviation}) > 50 THEN CASE WHEN {deviation} > 0 THEN 'Above' ELSE 'Below' END || ' 7-day average by ' || format('{{:.1f}}', abs({deviation})) || '%' END,
+    CASE WHEN {best} > 0 THEN 'High number of ' || {first} || ' alerts' END,
+    CASE WHEN severity_score > 0.7 THEN 'High average alert severity' END], lambda x: x IS NOT NULL)"""
+    listed = f"reasoned AS (SELECT *, CASE WHEN len({reasons}) > 0 THEN {reasons} ELSE ['Statistical anomaly detected'] END AS why FROM flags WHERE hit)"
+    sql["flagged_reasons"] = f"""{flagged}, {listed} SELECT {day()} AS date, total_alerts, severity, {r('confidence')} AS confidence, array_to_string(why, '|') AS reasons FROM reasoned"""
+    sql["unscored_days"] = f"{order_daily} SELECT {day()} AS issued_date, total_alerts, 0.0::DOUBLE AS anomaly_score, false AS is_anomaly, 0.0::DOUBLE AS anomaly_confidence, 'low' AS anomaly_severity FROM series"
+    sql["flagged_insights"] = f"""{flagged.replace('WITH ', 'WITH RECURSIVE ', 1)}, {least_squares(chosen, 'target')},
+k AS (SELECT *, row_number() OVER (ORDER BY day DESC) AS k FROM flags),
+a AS (SELECT avg(total_alerts) FILTER (k <= 7) AS now, avg(total_alerts) FILTER (k BETWEEN 8 AND 14) AS prev,
+  count(*) FILTER (k <= 30 AND hit) AS n, max(day) FILTER (k <= 30 AND hit) AS latest, count(*) FILTER (k <= 30 AND hit AND severity IN ('high', 'critical')) AS severe,
+  (SELECT 1.5 * avg(forecast) FROM steps WHERE step > 0 AND target = 'total_alerts') AS ahead FROM k),
+s AS (SELECT {', '.join(f'sum({t}) AS {t}' for t in ORDER_TYPES)} FROM k WHERE k <= 7),
+m AS (SELECT month(day) AS month, avg(total_alerts) AS avg, count(*) AS n FROM series GROUP BY 1),
+y AS (SELECT max(avg) FILTER (month = 8) AS m, avg(avg) AS y, sum(n) AS n FROM m),
+found AS (
+SELECT 1 AS seq, 'activity' AS rule, CASE
+  WHEN now > prev * 1.5 AND prev > 0 THEN format('Alert activity has increased significantly in the past week (average {{:.1f}} alerts/day vs {{:.1f}} previously).', now, prev)
+  WHEN now < prev * 0.7 AND prev > 0 THEN format('Alert activity has decreased in the past week (average {{:.1f}} alerts/day vs {{:.1f}} previously).', now, prev)
+  ELSE format('Alert activity remains stable at around {{:.1f}} alerts per day.', now) END AS text FROM a
+UNION ALL SELECT 2, 'anomalies', 'Detected ' || n || ' anomalous days in the past month, most recently on ' || strftime(latest, '%B %d') || '.' FROM a WHERE n > 0
+UNION ALL SELECT 3, 'severe_anomalies', 'Found ' || severe || ' high-severity anomalies requiring attention.' FROM a WHERE severe > 0
+UNION ALL SELECT 4, 'outlook', CASE WHEN ahead > now * 1.2 THEN 'Forecast predicts increased' ELSE 'Forecast predicts decreased' END
+  || format(' alert activity in the coming week (average {{:.1f}} alerts/day expected).', ahead) FROM a WHERE ahead > now * 1.2 OR ahead < now * 0.8
+UNION ALL SELECT 5, 'frequent_type', 'Most frequent alert type recently: ' || upper(t[1]) || t[2:] || ' alerts.' FROM (SELECT {best_type(ORDER_TYPES)} AS t FROM s)
+UNION ALL SELECT 6, 'season', format('Current month typically sees higher than average alert activity ({{:.1f}} vs yearly average {{:.1f}}).', m, y) FROM y WHERE n > 365 AND m > y * 1.3)
+SELECT * FROM found ORDER BY seq LIMIT 4"""
+    sql["stored_findings"] = f"""{flagged.replace('WITH ', 'WITH RECURSIVE ', 1)}, {listed}, {least_squares(chosen, 'target')}
+SELECT {day()} AS day, array_to_string(why, '; ') AS what, total_alerts FROM reasoned
+UNION ALL SELECT {day()}, target, NULL FROM steps WHERE step > 0"""
+
+    sql["alert_keys"] = "SELECT o_orderkey, sha256(o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || o_custkey) AS key FROM orders"
+    sql["built_texts"] = """SELECT o_orderkey, o_orderpriority || ' ' || CASE WHEN o_custkey % 3 > 0 THEN o_orderstatus ELSE '' END || ' ' || o_custkey AS text,
+  o_orderpriority AS title FROM orders"""
+    sql["stored_batches"] = f"""WITH {EVENT_ALERTS} SELECT alert_id, CASE WHEN type = 'error' THEN 'corrected' ELSE type END AS type, region,
+  strftime(DATE '2024-02-01' + CAST(CASE WHEN type = 'error' THEN 2 ELSE alert_id % 2 END AS INTEGER), '%Y-%m-%d') AS ingest_date,
+  CAST(CASE WHEN type = 'error' THEN 2 ELSE alert_id % 2 END AS BIGINT) AS batch_seq, CAST(CASE WHEN type = 'error' THEN 2 ELSE 1 END AS BIGINT) AS versions FROM alerts"""
+    sql["stored_series"] = f"""WITH {EVENT_ALERTS}, {daily_of('alerts', [], EVENT_TYPES)},
+trended AS (SELECT {day()} AS issued_date, total_alerts, {r('severity_score')} AS severity_score, {', '.join(EVENT_TYPES)}, {trends([])} FROM series)
+SELECT * FROM trended, (VALUES ('alerts_daily'), ('dashboard_data')) c(copy)"""
     return sql

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from barograph.functions import display, severity, text, timeparts
 from barograph.operators import anomaly, daily, dedupe, enrich, filters, forecast, insights, keywords, series, stats
 from barograph.session import scratch_dir
-from barograph.sources import adapters, pages
+from barograph.sources import adapters, pages, tables
 from barograph.sources.adapters import EVENT_TYPES, ORDER_TYPES, read, read_texts
 from barograph.streaming import bursts, jobs, replay, store
 
@@ -653,3 +654,244 @@ def stream_upserts(spark, sf):
     replay.replay(rows, _slice(), f"{base}/in", start)
     table.vacuum()
     return spark.read.parquet(f"{base}/daily").filter("total_alerts > 0").drop("day")
+
+
+# Models with fixed or closed-form parameters -----------------------------------
+
+FOREST_TREES = 12
+FOREST_FEATURES = ["total_alerts", "urgent", "high"]
+
+
+def fixed_forest(low: list[float], high: list[float]) -> list[dict]:
+    """Full trees of three levels whose features, thresholds and leaf sizes follow from their numbers."""
+    trees = []
+    for t in range(FOREST_TREES):
+        inner = []
+        for i in range(7):
+            f = (t + i) % len(low)
+            threshold = low[f] + (high[f] - low[f]) * ((t * 7 + i * 13) % 17 + 1) / 18
+            inner.append({"feature": f, "threshold": threshold, "left": 2 * i + 1, "right": 2 * i + 2, "size": 8})
+        leaves = [{"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "size": (t + i) % 5 + 1} for i in range(7, 15)]
+        trees.append({"sample_size": 8, "nodes": inner + leaves})
+    return trees
+
+
+@query
+def forest_scores(spark, sf):
+    days = adapters.order_full_daily(spark, sf)
+    values = [F.col(c).cast("double") for c in FOREST_FEATURES]
+    bounds = days.agg(F.array(*map(F.min, values)).alias("low"), F.array(*map(F.max, values)).alias("high")).first()
+    points = days.select("issued_date", F.array(*values).alias("x"))
+    return anomaly.score_rows(points, fixed_forest(bounds["low"], bounds["high"])).select("issued_date", "raw")
+
+
+@query
+def cv_naive(spark, sf):
+    long = forecast.long_series(adapters.order_full_daily(spark, sf), ["total_alerts", *ORDER_TYPES]).withColumnRenamed("value", "label")
+    return forecast.cross_validate(long, forecast.seasonal_naive())
+
+
+LINEAR_TARGETS = ["total_alerts", "urgent", "high"]
+
+
+def _linear(spark, sf, **options) -> DataFrame:
+    days = adapters.order_full_daily(spark, sf).select("issued_date", *LINEAR_TARGETS)
+    return forecast.fit_linear(days, LINEAR_TARGETS).forecast(days, **options)
+
+
+@query
+def forecast_linear(spark, sf):
+    """Least squares over the last week's mean; bounds by the spread of the forecasts."""
+    return _linear(spark, sf)
+
+
+@query
+def forecast_linear_residual(spark, sf):
+    """The same with bounds by the error of each line, for every region and type."""
+    days = daily.daily_series(adapters.order_alerts(spark, sf), ["region"], (), type_col="none").select("region", "issued_date", "total_alerts")
+    return forecast.fit_linear(days, ["total_alerts"], ["region"]).forecast(days, interval="residual").drop("rmse", "intercept", "weights")
+
+
+@query
+def forecast_weighted(spark, sf):
+    """Fixed weights that run into zero, so that clipped days are fed back."""
+    days = adapters.order_daily(spark, sf)
+    table = spark.createDataFrame(
+        [("total_alerts", -4.0, {"lag_6": 0.5, "rolling_mean_3": 0.25, "diff_1": 0.5}, 1.0)], "target string, intercept double, weights map<string,double>, rmse double"
+    )
+    return forecast.LinearForecaster(table).forecast(days)
+
+
+@query
+def forecast_values(spark, sf):
+    """Every value of the feature vectors."""
+    rows = forecast.forecast_features(forecast.long_series(adapters.order_daily(spark, sf), ["total_alerts"]))
+    x = vector_to_array("features")
+    return rows.select(F.col("day").alias("issued_date"), "label", *[F.get(x, F.lit(i)).alias(n) for i, n in enumerate(forecast.FEATURES)])
+
+
+@query
+def anomaly_values(spark, sf):
+    """Every value that anomaly detection reads."""
+    values = anomaly.anomaly_features(adapters.order_full_daily(spark, sf), ORDER_TYPES)[0]
+    return _coarser(values, "alert_intensity", "severity_score")
+
+
+def _coarser(df: DataFrame, *columns: str) -> DataFrame:
+    """Means of prices on three places: they end there too seldom for the order of a sum to matter."""
+    return df.withColumns({c: F.round(c, 3) for c in columns})
+
+
+# Deterministic flags: what follows from a model, with z-scores in its place -----
+
+
+def _flagged(spark, sf) -> DataFrame:
+    """The order series, flagged where it is over two deviations from its 30-day mean."""
+    days = adapters.order_full_daily(spark, sf)
+    score = (2 - F.abs("z_score_30")) / 4
+    scored = series.zscores(days).select(*days.columns, score.alias("anomaly_score"))
+    flags = scored.select("*", (F.col("anomaly_score") < 0).alias("is_anomaly"), F.abs("anomaly_score").alias("anomaly_confidence"))
+    return flags.withColumn("anomaly_severity", severity.confidence_bin(F.col("anomaly_confidence")))
+
+
+@query
+def flagged_table(spark, sf):
+    found = filters.anomalies_only(_flagged(spark, sf))
+    columns = [F.col(c) for c in ("issued_date", "total_alerts", "anomaly_severity", "anomaly_confidence")]
+    return found.select(*display.anomaly_display(*columns), severity.confidence_rank(columns[2]).alias("rank"))
+
+
+@query
+def flagged_severe(spark, sf):
+    return filters.severe_anomalies(_flagged(spark, sf), ["medium", "high", "critical"]).select("issued_date", "total_alerts", "anomaly_severity")
+
+
+@query
+def flagged_breakdown(spark, sf):
+    return stats.severity_breakdown(_flagged(spark, sf))
+
+
+@query
+def flagged_summary(spark, sf):
+    return stats.anomaly_summary(_flagged(spark, sf))
+
+
+@query
+def flagged_timeline(spark, sf):
+    days = adapters.order_full_daily(spark, sf)
+    return _coarser(stats.timeline(days, filters.anomalies_only(_flagged(spark, sf))), "severity_index")
+
+
+@query
+def flagged_reasons(spark, sf):
+    return anomaly.explain_anomalies(_flagged(spark, sf), ORDER_TYPES)
+
+
+@query
+def unscored_days(spark, sf):
+    return anomaly.unscored(adapters.order_daily(spark, sf))
+
+
+@query
+def flagged_insights(spark, sf):
+    """The first findings on flags and forecasts that SQL can follow; the series ends where it has flags."""
+    days = adapters.order_full_daily(spark, sf)
+    found = insights.insights(days, _flagged(spark, sf), _linear(spark, sf).withColumn("forecast", F.col("forecast") * 1.5), F.lit("2001-08-01").cast("date"), ORDER_TYPES)
+    return insights.first_insights(found)
+
+
+@query
+def forecast_summary(spark, sf):
+    return stats.forecast_summary(_linear(spark, sf).filter("target = 'total_alerts'"))
+
+
+@query
+def forecast_errors(spark, sf):
+    """A linear forecast made a week before the end, beside what came true."""
+    days = adapters.order_full_daily(spark, sf).select("issued_date", *LINEAR_TARGETS)
+    past = days.withColumn("_rank", series.rank_from_end()).filter("_rank > 7").drop("_rank")
+    return forecast.forecast_vs_actual(forecast.fit_linear(past, LINEAR_TARGETS).forecast(past), days).drop("lower_bound", "upper_bound")
+
+
+@query
+def placeholder_forecast(spark, sf):
+    """The default forecast after the last day of the orders."""
+    last = read(spark, sf, "orders").agg(F.max("o_orderdate")).first()[0]
+    return forecast.default_forecast(spark, F.lit(last).cast("date") + 1)
+
+
+@query
+def alert_keys(spark, sf):
+    orders = read(spark, sf, "orders")
+    return orders.select("o_orderkey", severity.alert_key(F.col("o_orderpriority"), F.to_date("o_orderdate"), F.col("o_custkey")).alias("key"))
+
+
+@query
+def built_texts(spark, sf):
+    parts = [F.col("o_orderpriority"), F.when(F.pmod("o_custkey", F.lit(3)) > 0, F.col("o_orderstatus")), F.col("o_custkey")]
+    orders = read(spark, sf, "orders")
+    return orders.select("o_orderkey", text.build_text(parts).alias("text"), text.build_text(parts[:1]).alias("title"))
+
+
+# Written and read back ------------------------------------------------------------
+
+
+@query
+def stored_batches(spark, sf):
+    """Events in three batches, of which one comes twice and one corrects errors of the first."""
+    base = scratch_dir(spark, "raw")
+    alerts = adapters.event_alerts(spark, sf)
+    part = F.pmod("alert_id", F.lit(2))
+    corrected = alerts.filter("type = 'error'").withColumn("type", F.lit("corrected"))
+    for seq, batch in ((0, alerts.filter(part == 0)), (1, alerts.filter(part == 1)), (1, alerts.filter(part == 1)), (2, corrected)):
+        tables.append_batch(batch, base, F.lit("2024-02-01").cast("date") + seq, seq)
+    raw = tables.read_batches(spark, base)
+    twice = raw.groupBy("alert_id").agg(F.count(F.lit(1)).alias("versions"))
+    return tables.current_alerts(raw).join(twice, "alert_id").select("alert_id", "type", "region", "ingest_date", "batch_seq", "versions")
+
+
+@query
+def stored_series(spark, sf):
+    """The daily series through CSV, its types declared, and its dashboard copy."""
+    base = scratch_dir(spark, "series")
+    alerts = adapters.event_alerts(spark, sf)
+    days = daily.daily_series(alerts, (), EVENT_TYPES)
+    tables.write_processed(alerts, days, base, "csv")
+    back = [tables.read_table(spark, f"{base}/{name}", days.schema, "csv").withColumn("copy", F.lit(name)) for name in ("alerts_daily", "dashboard_data")]
+    return back[0].union(back[1])
+
+
+@query
+def stored_findings(spark, sf):
+    """Anomalies with their reasons from JSON, beside the forecasts' table."""
+    base = scratch_dir(spark, "findings")
+    flags, ahead = _flagged(spark, sf), _linear(spark, sf)
+    tables.write_anomalies(flags, anomaly.explain_anomalies(flags, ORDER_TYPES), base)
+    tables.write_forecasts(ahead, stats.forecast_summary(ahead), base)
+    reasons = spark.read.json(f"{base}/anomaly_explanations").select(F.col("date").alias("day"), F.array_join("reasons", "; ").alias("what"))
+    kept = spark.read.parquet(f"{base}/anomaly_results").select(F.date_format("issued_date", "yyyy-MM-dd").alias("day"), "total_alerts")
+    rows = spark.read.parquet(f"{base}/forecast_results").select(F.date_format("date", "yyyy-MM-dd").alias("day"), F.col("target").alias("what"))
+    return kept.join(reasons, "day").select("day", "what", "total_alerts").union(rows.select("day", "what", F.lit(None).cast("long")))
+
+
+@query
+def stored_insights(spark, sf):
+    base = scratch_dir(spark, "insights")
+    found = insights.insights(adapters.order_full_daily(spark, sf), as_of=F.lit("2001-08-01").cast("date"), types=ORDER_TYPES)
+    tables.write_insights(insights.insights_document(found, F.lit(AS_OF)), f"{base}/insights")
+    return tables.read_insights(spark, f"{base}/insights").unionByName(tables.read_insights(spark, f"{base}/missing").withColumn("seq", -F.col("seq")))
+
+
+@query
+def stream_enriched(spark, sf):
+    """The enrichment of ``processed_alerts`` on a stream of documents."""
+    base = scratch_dir(spark, "enriched")
+    alerts = adapters.document_alerts(spark, sf).withColumns({"issued_date": F.col("issued_date").cast("timestamp"), "type": text.classify(F.col("text"))})
+    alerts.write.parquet(f"{base}/in")
+    stream = jobs.enrich_stream(spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in"))
+    wanted = stream.select(
+        "alert_id", "type", "alert_category", "keywords", "sentiment_score", "sentiment_label", "word_count",
+        "urgency_keywords", "exclamation_count", "severity_score", "day_of_week", "week_of_year",
+    )
+    jobs.start(wanted, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(wanted.schema).parquet(f"{base}/out")

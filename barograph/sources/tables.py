@@ -118,14 +118,36 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def append_batch(batch: DataFrame, path: str, ingest_date: Column, batch_seq: int) -> None:
-    """Append a batch to the raw table, in the partition of its day.
+BATCHES = "_batches"
 
-    One partitioned table is both the dated copy and the main table. Readers
-    take ``current_alerts`` of it, in which the latest batch wins.
+
+def append_batch(batch: DataFrame, path: str, ingest_date: Column, batch_seq: int) -> bool:
+    """Append a batch to the raw table, in a partition of its own; whether it was new.
+
+    One partitioned table is both the dated copy and the main table. The number of a
+    batch is noted beside the data once all of it is written: one that comes again adds
+    nothing, and what a failed attempt has left is replaced by the next. Readers take
+    ``current_alerts`` of ``read_batches``, in which the latest batch wins.
     """
-    dated = batch.withColumns({"ingest_date": ingest_date.cast("date"), "batch_seq": F.lit(batch_seq).cast("long")})
-    dated.write.partitionBy("ingest_date").mode("append").parquet(path)
+    context = batch.sparkSession.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCHES}/{batch_seq}")
+    files = mark.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.exists(mark):
+        return False
+    dated = batch.withColumn("ingest_date", ingest_date.cast("date"))
+    dated.write.partitionBy("ingest_date").mode("overwrite").parquet(f"{path}/batch_seq={batch_seq}")
+    files.create(mark, False).close()
+    return True
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The batches that are wholly written, with ``batch_seq`` and ``ingest_date``."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCHES}")
+    listed = folder.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(folder)
+    whole = sorted(int(s.getPath().getName()) for s in listed)
+    found = spark.read.option("basePath", path).parquet(*[f"{path}/batch_seq={n}" for n in whole])
+    return found.withColumn("batch_seq", F.col("batch_seq").cast("long"))
 
 
 def current_alerts(raw: DataFrame, keys: Sequence[str] = ("alert_id",)) -> DataFrame:
@@ -135,7 +157,7 @@ def current_alerts(raw: DataFrame, keys: Sequence[str] = ("alert_id",)) -> DataF
 
 def compact_alerts(spark: SparkSession, path: str, target: str, keys: Sequence[str] = ("alert_id",)) -> None:
     """Write a new snapshot of the raw table, each key once."""
-    current_alerts(spark.read.parquet(path), keys).write.partitionBy("ingest_date").mode("overwrite").parquet(target)
+    current_alerts(read_batches(spark, path), keys).write.partitionBy("ingest_date").mode("overwrite").parquet(target)
 
 
 def write_processed(alerts: DataFrame, daily: DataFrame, base: str, fmt: str = "parquet") -> None:

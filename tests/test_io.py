@@ -85,8 +85,13 @@ def test_append_compact(spark, tmp_path):
     first = spark.createDataFrame([("a", 1), ("b", 1)], "alert_id string, x long")
     second = spark.createDataFrame([("b", 2)], "alert_id string, x long")
     tables.append_batch(first, base, F.lit("2024-01-01"), 1)
-    tables.append_batch(second, base, F.lit("2024-01-02"), 2)
-    assert os.path.isdir(f"{base}/ingest_date=2024-01-02")
+    assert tables.append_batch(second, base, F.lit("2024-01-02"), 2)
+    assert os.path.isdir(f"{base}/batch_seq=2/ingest_date=2024-01-02")
+    # A batch that comes again adds nothing; one that was not finished does not count and is replaced.
+    assert not tables.append_batch(first.union(second), base, F.lit("2024-01-03"), 2)
+    first.withColumn("ingest_date", F.lit("2024-01-09")).write.partitionBy("ingest_date").parquet(f"{base}/batch_seq=3")
+    assert tables.read_batches(spark, base).count() == 3
+    assert tables.append_batch(second.limit(0), base, F.lit("2024-01-04"), 3) and tables.read_batches(spark, base).count() == 3
     tables.compact_alerts(spark, base, str(tmp_path / "snapshot"))
     assert sorted((r["alert_id"], r["x"]) for r in spark.read.parquet(str(tmp_path / "snapshot")).collect()) == [("a", 1), ("b", 2)]
 
