@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barograph.functions import text as txt
 from barograph.operators.daily import fill_days
 from barograph.operators.series import burst_flags, zscores
-from barograph.operators.skew import join_on_frequent_key
 from barograph.operators.stats import keyword_counts
+from barograph.session import scratch_dir
 
 
-def tfidf_top(df: DataFrame, tokens: Column, id_col: str, top_n: int = 3, hot_terms: int = 10_000) -> DataFrame:
+def tfidf_top(df: DataFrame, tokens: Column, id_col: str, top_n: int = 3) -> DataFrame:
     """The ``top_n`` terms of each text by tf * (ln((1+N)/(1+df)) + 1).
 
-    Term counts of a text come from the text itself; only document frequencies
-    are aggregated across texts. A term found in a third of all texts is met
-    by broadcast, rare ones by shuffle.
+    Term counts of a text come from the text itself and are written once, as they are
+    read twice: for the document frequencies, reduced before their shuffle, and to meet
+    them. Adaptive execution splits the rows of a term that a third of all texts have.
     """
-    postings = df.select(id_col, F.explode(txt.token_counts(tokens)).alias("_t")).select(
-        id_col, F.col("_t.token").alias("term"), (-F.col("_t.neg")).cast("long").alias("tf"), F.col("_t.pos").alias("pos")
+    spark = df.sparkSession
+    listed = df.select(id_col, F.explode(txt.token_counts(tokens)).alias("_t")).select(
+        id_col, F.col("_t.token").alias("term"), (-F.col("_t.neg")).cast("long").alias("tf")
     )
+    path = scratch_dir(spark, "postings")
+    listed.write.parquet(path)
+    postings = spark.read.schema(listed.schema).parquet(path)
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_texts = df.agg(F.count(F.lit(1))).scalar()
-    joined = join_on_frequent_key(postings, frequencies, "term", "df", hot_terms)
+    joined = postings.join(frequencies, "term")
     idf = F.log((1 + n_texts) / (1 + F.col("df"))) + 1
     scored = joined.withColumn("tfidf", F.col("tf") * idf)
     # A group is one text, so its size is bounded by the text's vocabulary.
@@ -54,23 +61,46 @@ def keyword_spikes(
     return scored.filter("burst").select(*keys, "issued_date", "total_alerts", f"z_score_{window}")
 
 
-def topic_terms(df: DataFrame, tokens: Column, k: int = 5, terms: int = 5, vocabulary: int = 20_000, max_iter: int = 10, seed: int = 42) -> DataFrame:
-    """The leading terms ``(topic, rank, term, weight)`` of an LDA topic model.
+@dataclass
+class TopicModel:
+    """A fitted LDA model with its vocabulary."""
 
-    ``vocabulary`` bounds the model, as usual for topic models: it is made of
-    the terms with the most occurrences.
-    """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    vectorizer: CountVectorizerModel
+    lda: LDAModel
 
-    spark = df.sparkSession
+    def terms(self, n: int = 5) -> DataFrame:
+        """The leading terms ``(topic, rank, term, weight)``."""
+        words = SparkSession.active().createDataFrame(list(enumerate(self.vectorizer.vocabulary)), "index int, term string")
+        described = self.lda.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "entry"))
+        return described.join(words, F.col("entry.termIndices") == F.col("index")).select(
+            "topic", (F.col("pos") + 1).alias("rank"), "term", F.col("entry.termWeights").alias("weight")
+        )
+
+    def log_perplexity(self, df: DataFrame, tokens: Column) -> float:
+        """Upper bound of the mean log loss a token, of texts that may be new to the model."""
+        return self.lda.logPerplexity(self.vectorizer.transform(df.select(tokens.alias("tokens")).filter(F.size("tokens") > 0)))
+
+
+def fit_topics(
+    df: DataFrame, tokens: Column, k: int = 5, vocabulary: int = 20_000, max_iter: int = 10, seed: int = 42, partitions: int = 32, share: float = 1.0
+) -> TopicModel:
+    """An LDA topic model that depends on the texts alone, not on their partitions.
+
+    The vocabulary is made of the terms with the most occurrences, ties in order of the
+    alphabet, which bounds the model. The optimizer draws per partition, so texts are
+    dealt by their hash to a fixed number of them. ``share`` is that of each iteration.
+    """
     tokenized = df.select(tokens.alias("tokens")).filter(F.size("tokens") > 0)
-    vectorizer = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary).fit(tokenized)
-    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(vectorizer.transform(tokenized))
-    words = spark.createDataFrame(list(enumerate(vectorizer.vocabulary)), "index int, term string")
-    described = model.describeTopics(terms).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "entry")
-    )
-    return described.join(words, F.col("entry.termIndices") == F.col("index")).select(
-        "topic", (F.col("pos") + 1).alias("rank"), "term", F.col("entry.termWeights").alias("weight")
-    )
+    counted = tokenized.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = [r["term"] for r in counted.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]
+    if not words:
+        raise ValueError("no text has a token")
+    vectorizer = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
+    dealt = tokenized.repartition(partitions, F.xxhash64("tokens")).sortWithinPartitions("tokens")
+    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=share).fit(vectorizer.transform(dealt))
+    return TopicModel(vectorizer, lda)
+
+
+def topic_terms(df: DataFrame, tokens: Column, k: int = 5, terms: int = 5, vocabulary: int = 20_000, max_iter: int = 10, seed: int = 42) -> DataFrame:
+    """The leading terms ``(topic, rank, term, weight)`` of ``fit_topics``."""
+    return fit_topics(df, tokens, k, vocabulary, max_iter, seed, share=0.05).terms(terms)

@@ -480,6 +480,12 @@ texts AS (
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id) - 1 AS INTEGER) AS seq, left(text, 1000) AS text, url AS link
 FROM texts WHERE length(text) > 20"""
 
+    sql["page_alerts"] = f"""WITH items AS (SELECT url, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS item FROM pages),
+parts AS (SELECT url, regexp_extract(item, 'href="([^"]*)"', 1) AS href, regexp_extract(item, '>([^<]*)</a>', 1) AS raw FROM items),
+read AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+') || href AS link,
+  trim(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), E' \t\n\r') AS title FROM parts)
+SELECT sha256(title || '|2024-01-31 12:00:00|Unknown') AS alert_id, title, {classified('title')} AS type, 'Unknown' AS region, '2024-01-31 12:00:00' AS issued_date,
+  '' AS effective_date, 'Unknown' AS severity, link FROM read"""
     sql["stream_hourly"] = stream_counts(["type", "region"], "1 HOUR", "date_trunc('hour', issued_date)")
     sql["stream_weekly"] = stream_counts(["type"], "7 DAY", "unnest(generate_series(CAST(day AS TIMESTAMP) - INTERVAL 6 DAY, CAST(day AS TIMESTAMP), INTERVAL 1 DAY))")
     sql["stream_bursts"] = f"""WITH {ARRIVALS}, {watermarks('arrivals')},

@@ -468,6 +468,14 @@ def page_sections(spark, sf):
     return found.select("page_id", "seq", "text", "link")
 
 
+@query
+def page_alerts(spark, sf):
+    """The entries of the pages' own lists as alerts, by selectors that fit them."""
+    markup = pages.Markup(item=("li", None), title=("a", None))
+    found = pages.pages_to_alerts(read_texts(spark, sf, "pages", "page_id"), F.lit(AS_OF), markup=markup)
+    return found.select("alert_id", "title", "type", "region", "issued_date", "effective_date", "severity", "link")
+
+
 # Models -----------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ executors, and only the page's key, address and markup reach Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -95,18 +96,36 @@ def read_page(html: str | None) -> Element:
     return reader.root
 
 
-def listed_alerts(root: Element, base_url: str) -> Iterator[dict]:
-    """Alerts in ``div.alert-item`` blocks; a block without a title is left out."""
-    for block in root.find_all("div", "alert-item"):
-        titles = block.find_all("a", "alert-title")
+Selector = tuple[str, str | None]
+
+
+@dataclass(frozen=True)
+class Markup:
+    """Where listed alerts stand in a page, each as tag and class (None: any class).
+
+    Within an item, the first ``title`` has the text and the link, the first ``text``
+    the body, and each ``row`` the name and the value of a detail in two ``cell``s.
+    """
+
+    item: Selector = ("div", "alert-item")
+    title: Selector = ("a", "alert-title")
+    row: Selector = ("div", "row")
+    cell: Selector = ("div", None)
+    text: Selector = ("div", "alert-text")
+
+
+def listed_alerts(root: Element, base_url: str, markup: Markup = Markup()) -> Iterator[dict]:
+    """Alerts in the item blocks of a page; a block without a title is left out."""
+    for block in root.find_all(*markup.item):
+        titles = block.find_all(*markup.title)
         if not titles:
             continue
         details = {}
-        for row in block.find_all("div", "row"):
-            cells = row.find_all("div")
+        for row in block.find_all(*markup.row):
+            cells = row.find_all(*markup.cell)
             if len(cells) >= 2:
                 details[cells[0].text().replace(":", "").lower()] = cells[1].text()
-        body = block.find_all("div", "alert-text")
+        body = block.find_all(*markup.text)
         yield {
             "parsed": "listed",
             "title": titles[0].text(),
@@ -126,7 +145,7 @@ def loose_sections(root: Element, pattern: str, min_chars: int, max_chars: int,
 
 
 def parse_pages(
-    pages: DataFrame, base_url: str | None = None, class_pattern: str = "alert", min_chars: int = 50, max_chars: int = 1000
+    pages: DataFrame, base_url: str | None = None, class_pattern: str = "alert", min_chars: int = 50, max_chars: int = 1000, markup: Markup = Markup()
 ) -> DataFrame:
     """All alerts of all pages, in page order, before defaults are filled in.
 
@@ -140,7 +159,7 @@ def parse_pages(
             for page_id, url, html in zip(*batch.columns):
                 base = base_url or url.as_py() or ""
                 root = read_page(html.as_py())
-                found = list(listed_alerts(root, base))
+                found = list(listed_alerts(root, base, markup))
                 found = found or list(loose_sections(root, class_pattern, min_chars, max_chars, base))
                 rows += [{"page_id": page_id.as_py(), "seq": i, **alert} for i, alert in enumerate(found)]
             yield pa.RecordBatch.from_pylist(rows, ARROW_ROW)

@@ -7,10 +7,12 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from barograph.operators import anomaly, forecast, insights
 from barograph.operators.daily import with_trends
+from barograph.operators.trees import boosted_prediction, boosted_trees
 
 START = dt.date(2023, 1, 1)
 
@@ -174,6 +176,51 @@ def test_advanced_state_equals_the_state_of_a_longer_series(spark, year):
     np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
 
 
+def test_boosted_trees_by_columns_equal_the_model(spark, year, forecaster):
+    features = forecast.forecast_features(forecast.long_series(year, ["flood"])).withColumn("x", vector_to_array("features"))
+    model = forecaster.models["flood"]
+    trees = boosted_trees(spark, [(("flood",), model)], "target string")
+    both = model.transform(features.join(trees, "target")).withColumn("own", boosted_prediction(F.col("x"), F.col("trees"), model.getMaxDepth()))
+    assert both.filter("abs(own - prediction) > 1e-9").count() == 0 and both.select("own").distinct().count() > 3
+
+
+def test_every_series_meets_one_model(spark, year, forecaster):
+    """However many targets there are, a step applies one model to a row."""
+    many = forecast.ForecastModel({f"t{i}": forecaster.models["flood"] for i in range(50)}, {f"t{i}": (1.0, 2.0) for i in range(50)})
+    days = year.select("issued_date", *[(F.col("flood") + i).alias(f"t{i}") for i in range(50)])
+    out = many.forecast(days, horizon=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan
+    got = out.toPandas()
+    assert len(got) == 150 and set(got["target"]) == {f"t{i}" for i in range(50)}
+    alone = forecast.ForecastModel({"flood": forecaster.models["flood"]}, {"flood": (1.0, 2.0)}).forecast(year, horizon=3).toPandas()
+    assert sorted(got[got["target"] == "t0"]["forecast"]) == pytest.approx(sorted(alone["forecast"]))
+
+
+def test_linear_forecasts_by_key(spark, year):
+    """Series by key equal the series alone; one without a model is left out; constant features give the mean."""
+    two = year.select(F.lit("a").alias("region"), "issued_date", "total_alerts").union(year.select(F.lit(None).alias("region"), "issued_date", F.lit(4)))
+    model = forecast.fit_linear(two, ["total_alerts"], ["region"])
+    got = {r: g.sort_values("date")["forecast"].tolist() for r, g in model.forecast(two).toPandas().groupby("region", dropna=False)}
+    alone = forecast.fit_linear(year, ["total_alerts"]).forecast(year.select("issued_date", "total_alerts")).orderBy("date").toPandas()
+    assert got.pop("a") == pytest.approx(alone["forecast"].tolist()) and list(got.values()) == [[4.0] * 7]
+    short = year.limit(20).select("issued_date", "total_alerts")
+    assert forecast.fit_linear(short, ["total_alerts"]).forecast(short).count() == 0
+
+
+def test_folds_by_hand(spark):
+    rows = [("t", dt.date(2024, 1, 1) + dt.timedelta(i), float(i % 7)) for i in range(62)] + [("s", dt.date(2024, 1, 1) + dt.timedelta(i), 1.0) for i in range(49)]
+    long = spark.createDataFrame(rows, "target string, day date, label double")
+    folds = {r["row"]: (r["fold"], r["start"]) for r in forecast.with_folds(long).filter("target = 't'").collect()}
+    # 62 rows: three blocks of 15 at the end, the first 17 are only trained on.
+    assert [sum(f == k for f, _ in folds.values()) for k in range(4)] == [17, 15, 15, 15]
+    assert folds[16] == (0, None) and folds[17] == (1, 17) and folds[61] == (3, 47)
+    (row,) = forecast.cross_validate(long, forecast.seasonal_naive()).collect()
+    assert (row["target"], row["n_folds"], row["mean_mae"], row["std_rmse"]) == ("t", 3, 0.0, 0.0)
+    off = forecast.cross_validate(long, forecast.seasonal_naive(season=6)).first()
+    assert off["mean_mae"] > 0
+
+
 def test_label_shift(year):
     long = forecast.long_series(year, ["total_alerts"])
     same_day = forecast.forecast_features(long, label_shift=0).toPandas()

@@ -1,4 +1,4 @@
-"""Duplicates, filters and skewed joins."""
+"""Duplicates, filters, topics and enrichment."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from barograph.operators import dedupe, enrich, filters
-from barograph.operators.skew import join_on_frequent_key
+from barograph.operators import dedupe, enrich, filters, keywords
 
 
 def rows(df):
@@ -68,20 +67,27 @@ def test_value_filters_and_columns(spark):
     assert filters.complete_rows(spark.createDataFrame([(1,), (None,)], "x long"), ["x"]).count() == 1
 
 
-def test_frequent_keys_join_like_any_other(spark):
-    rng = random.Random(1)
-    keys = ["hot"] * 3000 + ["warm"] * 500 + [f"k{rng.randrange(400)}" for _ in range(2000)] + ["\x01" + str(i) for i in range(300)]
-    fact = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k string")
-    dim = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    expected = rows(fact.join(dim, "k").select("id", "k", "n"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for hot_keys in (1, 10, 10_000):
-            assert rows(join_on_frequent_key(fact, dim, "k", "n", hot_keys).select("id", "k", "n")) == expected
-        plan = join_on_frequent_key(fact, dim, "k", "n", 10)._jdf.queryExecution().executedPlan().toString()
-        assert "hashpartitioning(_name" in plan
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_planted_topics_are_found(spark):
+    """Texts of three vocabularies: every topic's leading terms are of one, however the texts are partitioned."""
+    rng = random.Random(3)
+    vocabulary = [[f"{c}{i}" for i in range(12)] for c in ("river", "wind", "snow")]
+    texts = [[rng.choice(vocabulary[i % 3]) for _ in range(40)] for i in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts[:120]], "tokens array<string>")
+    held_out = spark.createDataFrame([(t,) for t in texts[120:]] + [(["unknown"],), ([],)], "tokens array<string>")
+    model = keywords.fit_topics(df, F.col("tokens"), k=3, max_iter=15, partitions=4)
+    found = {}
+    for r in model.terms(6).collect():
+        found.setdefault(r["topic"], set()).add(r["term"].rstrip("0123456789"))
+    assert sorted(map(sorted, found.values())) == [["river"], ["snow"], ["wind"]]
+    fewer = keywords.fit_topics(df, F.col("tokens"), k=2, max_iter=15, partitions=4)
+    assert model.log_perplexity(held_out, F.col("tokens")) < fewer.log_perplexity(held_out, F.col("tokens")) - 0.1
+
+    def rounded(m):
+        return sorted((r["topic"], r["rank"], r["term"], round(r["weight"], 6)) for r in m.terms(6).collect())
+
+    assert rounded(keywords.fit_topics(df.repartition(7), F.col("tokens"), k=3, max_iter=15, partitions=4)) == rounded(model)
+    with pytest.raises(ValueError):
+        keywords.fit_topics(df.limit(0), F.col("tokens"))
 
 
 def test_process_alerts_with_minimal_columns(spark):
