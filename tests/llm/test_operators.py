@@ -231,7 +231,8 @@ def test_thresholds_see_the_true_share_of_classes(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", 30)
     docs = spark.createDataFrame([(i, f"w{i} some words here") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(500)], "doc_id long, toxic int")
-    rows, language, marks, totals = toxicity.sample(docs, labels, lambda doc: doc >= 0)
+    taken, totals = toxicity.drawn(docs, labels, lambda doc: doc >= 0)
+    rows, language, marks = toxicity.arrays(taken.collect())
     assert (len(rows), int(marks.sum()), totals) == (60, 30, (360, 40))
     monkeypatch.setattr(toxicity, "_threshold", lambda logits, toxic, weights: float((toxic * weights).sum() / weights.sum()))
     assert abs(toxicity.train(rows, language, marks, totals).thresholds[0] - 0.1) < 0.01
