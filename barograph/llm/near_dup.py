@@ -9,8 +9,8 @@ Jaccard similarity ``s`` meet in a table with probability
 
 Documents of one table key are compared with one of them, the hub, not with each
 other. Where that leaves a key in several components, another hub is tried, and in
-the end all pairs of different components that still share a key and can be similar
-at all: a bitmap of each set shows how many members of one the other lacks at
+the end all pairs of different components that still share a key, each in one table
+only, and can be similar at all: a bitmap of each set shows how many members of one the other lacks at
 least, which bounds the intersection from above before any text is read.
 Copies (equal sets) are one class throughout, so the work follows the number of
 different texts.
@@ -133,7 +133,7 @@ def _verify(n: int, tail: bool, percent: int):
 
 
 def _buckets(classes: DataFrame, group: int) -> DataFrame:
-    """``(key, rep, n)``: the table keys of every class that some other class shares.
+    """``(key, p, q, rep, n)``: the table keys, and the places of their two hashes, of every class that some other class shares.
 
     A pair that shares a table shares a hash of each collection, so the hashes that
     occur once are dropped before pairs of them are formed.
@@ -145,9 +145,9 @@ def _buckets(classes: DataFrame, group: int) -> DataFrame:
     def side(first: bool) -> Column:
         return F.filter("hashes", lambda x: (x["place"] < group) if first else (x["place"] >= group))
 
-    pairs = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x["place"], x["value"], y["place"], y["value"]))))
-    keyed = shared.select("rep", F.explode(pairs).alias("key")).join(classes.select("rep", "n"), "rep")
-    return keyed.select("key", "rep", "n")
+    pairs = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.struct(F.xxhash64(x["place"], x["value"], y["place"], y["value"]).alias("key"), x["place"].alias("p"), y["place"].alias("q")))))
+    keyed = shared.select("rep", F.inline(pairs)).join(classes.select("rep", "n"), "rep")
+    return keyed.select("key", "p", "q", "rep", "n")
 
 
 def _crowded(buckets: DataFrame) -> DataFrame:
@@ -162,6 +162,12 @@ def _may_link(percent: int) -> str:
     return f"x.component <> y.component and {100 + percent} * {most} >= {percent} * (x.n + y.n)"
 
 
+def _first_shared(group: int) -> str:
+    """Whether no earlier hash of either collection is equal: of the tables that a pair shares only one has it."""
+    same = "zip_with(x.hashes, y.hashes, (u, v) -> u = v)"
+    return f"not exists(slice({same}, 1, x.p), e -> e) and not exists(slice({same}, {group + 1}, x.q - {group}), e -> e)"
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bool = False, rows: int = ROWS, group: int = GROUP) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` and ``kept`` to all columns of ``docs``.
 
@@ -207,9 +213,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
             hub = opened.groupBy("key").agg(F.min_by(F.struct(*side), choice).alias("x"))
             met = opened.select("key", F.struct(*side).alias("y")).join(hub, "key").filter(_may_link(percent))
         else:
-            x = opened.select("key", F.struct(*side).alias("x"))
-            y = opened.select(F.col("key").alias("_key"), F.struct(*side).alias("y"))
-            met = x.join(y, (F.col("key") == F.col("_key")) & F.expr(f"x.rep < y.rep and {_may_link(percent)}"))
+            # A pair meets once, in the first of its tables, however many it shares.
+            whole = opened.join(classes.select("rep", "hashes"), "rep").select("key", F.struct(*side, "p", "q", "hashes").alias("x"))
+            y = whole.select(F.col("key").alias("_key"), F.col("x").alias("y"))
+            met = whole.join(y, (F.col("key") == F.col("_key")) & F.expr(f"x.rep < y.rep and {_may_link(percent)} and {_first_shared(group)}"))
         pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         if turn:
             known = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -221,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
         if turn < HUBS:
             named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-            opened = stored(named.join(unsettled, "key").select("key", "rep", "n", "component").join(maps, "rep"), "open")
+            opened = stored(named.join(unsettled, "key").select("key", "p", "q", "rep", "n", "component").join(maps, "rep"), "open")
     release(texts)
     of_class = classes.select(*key, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id")
