@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -278,6 +279,74 @@ def test_secrets_without_long_words(spark):
     assert found(texts[:1]) == {0}
 
 
+def names(rng):
+    """Ordinary tokens, each built in another way."""
+    stock = "garden river monthly invoice winter analysis python network station museum concert kitchen solar engine bridge meadow".split()
+    some = [rng.choice(stock) for _ in range(rng.randrange(4, 7))]
+    dated = f"{some[0]}-{rng.randrange(1999, 2025)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}-{some[1]}"
+    return ["/".join(some), "_".join(some), "".join(w.capitalize() for w in some), "-".join(some), dated, "".join(some)]
+
+
+@pytest.mark.parametrize("ordinary,random_ones", [(120, 30), (600, 10), (100, 0), (0, 1)])
+def test_few_reported_tokens_are_ordinary(spark, ordinary, random_ones):
+    """Of what is reported a tenth at most is ordinary, and nine of ten random tokens are, whatever the mixture."""
+    rng = random.Random(ordinary)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    tokens = [t for _ in range(ordinary) for t in names(rng)] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 41))) for _ in range(random_ones)]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r.doc_id for r in secrets.query(df).collect() if "random" in r.spans}
+    wrong = sum(i < 6 * ordinary for i in got)
+    assert wrong <= 0.1 * len(got) and len(got) - wrong >= 0.9 * random_ones
+
+
+def p_random(token):
+    """The battery in numpy."""
+    bare = token.rstrip("=").replace("-", "+").replace("_", "/")
+    lower, upper, digits = secrets.LOWER, secrets.UPPER, secrets.DECIMAL
+    tried = [digits, secrets.HEX_LOWER, secrets.HEX_UPPER, lower, upper, secrets.BASE32, secrets.BASE36, upper + lower, secrets.BASE64]
+    alphabet = next(x for x in tried if set(bare) <= set(x))
+    v, k, n = np.array([alphabet.index(c) for c in bare], float), len(alphabet), len(bare)
+
+    def to_normal(chi, df):
+        return ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+
+    z = [max(to_normal(k / n * sum(bare.count(c) ** 2 for c in set(bare)) - n, k - 1), 0)]
+    kinds = [upper, lower, "".join(set(secrets.BASE64) - set(upper + lower))]
+    expected = [sum(c in x for c in alphabet) / k * n for x in kinds]
+    found = [sum(c in x for c in bare) for x in kinds]
+    own = sum(e > 0 for e in expected)
+    z.append(max(to_normal(sum((f - e) ** 2 / e for f, e in zip(found, expected) if e), own - 1), 0) if own > 1 else 0)
+    high = v * 2 >= k
+    runs, h = 1 + int((high[1:] != high[:-1]).sum()), int(high.sum())
+    mean = 2 * h * (n - h) / n + 1
+    variance = (mean - 1) * (mean - 2) / (n - 1)
+    z.append((runs - mean) / math.sqrt(variance) if variance > 0 else 9.0)
+    spread = ((v - v.mean()) ** 2).sum()
+    z.append(((v[1:] - v.mean()) * (v[:-1] - v.mean())).sum() / spread * math.sqrt(n) if spread else 9.0)
+    x = to_normal(sum(y * y for y in z), 4 if own > 1 else 3)
+    return 1 - 1 / (1 + math.exp(-1.5976 * x - 0.070566 * x**3))
+
+
+def test_randomness_against_numpy(spark):
+    rng = random.Random(12)
+    tokens = [t for _ in range(8) for t in names(rng)] + ["a" * 20, "1" * 25 + "==", "0123456789" * 3, "deadbeef" * 4, "ABCDEF012345" * 2, "ABCDEFGHIJKLMNOPQRSTUVWX"]
+    for alphabet in (secrets.LOWER, secrets.HEX_LOWER, secrets.BASE32, secrets.BASE36, secrets.BASE64, secrets.UPPER + secrets.LOWER):
+        tokens += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for _ in range(12)]
+    got = {r.token: r.p_random for r in secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    assert got == pytest.approx({t: p_random(t) for t in tokens}, abs=1e-9)
+
+
+def test_decoys_are_like_their_tokens(spark):
+    rng = random.Random(13)
+    tokens = spark.createDataFrame([(t,) for _ in range(5) for t in names(rng)], "token string")
+    words = secrets._words(tokens)
+    assert {"garden", "river"} & set(words) and len(words) <= len(secrets.COMMON.split()) + secrets.PIECES
+    made = [r.token for r in secrets.decoys(tokens, words).collect()]
+    own = [r.token for r in tokens.collect()]
+    assert sorted(map(len, made)) == sorted(n for t in own for n in [len(t)] * secrets.DECOYS)
+    assert sum(t.isalpha() for t in made) >= sum(t.isalpha() for t in own) * secrets.DECOYS
+
+
 def test_personal_data(spark):
     rng = random.Random(9)
     texts = ["x a@b.c_d@e.f, 1.2.3.4.5.6.7.8 300.1.1.1 a@b..c 4111 1111 1111 1111", "+1 (377) 555-0271 +12 3 4", "é😀 q@r.st 1.2.3.4", "\x01\x02 a\x02b@c\x02d", None, "", "a" * 5000 + "@" + "b." * 3000 + "c"]
