@@ -10,10 +10,13 @@ so two such vectors share the signs that narrow ``n`` vectors down to a window w
 probability ``p = (window / n) ** -log2(1 - acos(c) / pi)``. The number of passes
 is chosen so that all of them miss with probability ``MISS`` or less.
 
-That holds where vectors are spread. In a crowd of near copies, larger than a window,
-all share most signs and no pass brings a given pair together. A vector that in some
-pass links with ``CROWD`` or more neighbours on one side is crowded: it leaves the
-passes and is compared exactly. Crowded vectors gather in cells around pivots; by the
+That holds where vectors are spread. Where they are dense, many share most signs, and a
+window ends before signs tell much. So every vector keeps account: if it shares ``m``
+signs with the neighbour at the far end of its window, a partner that agrees in ``m + 1``
+stands within, which happens with probability ``(1 - acos(c) / pi) ** (m + 1)``. A vector
+that all passes together miss with probability ``UNSURE`` or more, by what its windows
+were like, or that links with ``CROWD`` or more neighbours on one side in some pass, is
+crowded: it leaves the passes and is compared exactly. Crowded vectors gather in cells around pivots; by the
 triangle inequality for angles only vectors within the radius of a cell and the angle
 of a link can link with its members, and those are compared block by block, in as many
 tasks as there are pairs of blocks. The passes then run again over the rest of these
@@ -22,6 +25,7 @@ labels, until nothing in them is crowded.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -41,6 +45,8 @@ MISS = 0.002
 LEAST_PASSES = 6
 #: Links on one side of a vector, in one pass, from which it is compared exactly.
 CROWD = WINDOW // 4
+#: Chance of missing a partner in all passes from which a vector is compared exactly, too.
+UNSURE = 0.02
 #: Crowded vectors per pivot, and pivots of a label at most.
 CELL = 2048
 PIVOTS = 64
@@ -57,11 +63,18 @@ def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW) -> in
     return max(LEAST_PASSES, math.ceil(math.log(MISS) / math.log1p(-together)))
 
 
+@functools.lru_cache(256)
 def projections(dim: int, number: int) -> np.ndarray:
     """Directions of pass ``number``: one per sign and one for ties."""
     return np.random.default_rng([dim, number]).standard_normal((dim, SIGNS + 1))
 
 
+def _signs(units: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signs of pass ``number`` as one whole number, the first leading, and the projection for ties."""
+    y = units @ projections(units.shape[1], number)
+    return (y[:, :SIGNS] > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)), y[:, SIGNS]
+
+
 def _usable(vectors: DataFrame, columns: tuple[str, str, str]) -> DataFrame:
     vec_id, embedding, label = columns
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -76,16 +89,11 @@ def _keys(classes: DataFrame, passes: int) -> DataFrame:
     """``(pass, label, dim, signs, tie, rep)``: where each vector stands in every pass."""
 
     def project(batches):
-        known = {}
         for part in batches:
             for dim, rows in part.groupby("dim"):
-                x = np.stack(rows["embedding"].to_numpy())
-                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = _units(rows["embedding"].to_numpy())
                 for k in range(passes):
-                    d = known.setdefault((dim, k), projections(dim, k) if (dim, k) not in known else None)
-                    y = x @ d
-                    signs = (y[:, :SIGNS] > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-                    tie = y[:, SIGNS] / np.linalg.norm(x, axis=1)
+                    signs, tie = _signs(x, k)
                     yield pd.DataFrame({"pass": k, "label": rows["label"], "dim": dim, "signs": signs, "tie": tie, "rep": rows["rep"]})
 
     return classes.select("rep", "label", "dim", "embedding").mapInPandas(
@@ -120,9 +128,18 @@ def _units(embeddings) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _chance(signs: np.ndarray, ahead: np.ndarray, cosine: float) -> np.ndarray:
+    """For vectors in order, the chance that a partner stands within a window that ends before ``ahead`` (-1: with the label)."""
+    differ = signs ^ signs[np.maximum(ahead, 0)]
+    # Signs shared are the leading zeros of what differs.
+    shared = np.where(differ > 0, SIGNS - 1 - np.floor(np.log2(np.maximum(differ, 1))), SIGNS)
+    agree = 1 - math.acos(cosine) / math.pi
+    return np.where(ahead < 0, 1.0, np.where(shared >= SIGNS, 0.0, agree ** (shared + 1)))
+
+
 def _compare_block(cosine: float, window: int, block: int, crowd: int):
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links found first in this pass, their number per vector, a tree of them, and crowded vectors."""
+        """Links found first in this pass, their number per vector, a tree of them, crowded vectors, and the log of the chance that a partner is missed."""
         number = int(key[0])
         rows = rows.sort_values("rank", kind="stable").reset_index(drop=True)
         n = len(rows)
@@ -131,7 +148,7 @@ def _compare_block(cosine: float, window: int, block: int, crowd: int):
         label, dim, copies = rows["label"].to_numpy(), rows["dim"].to_numpy(), rows["copies"].to_numpy()
         reps = rows["rep"].to_numpy()
         links, parent = np.zeros(n, np.int64), np.arange(n)
-        after, ahead = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        after, ahead, missed = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -142,6 +159,13 @@ def _compare_block(cosine: float, window: int, block: int, crowd: int):
         for d in np.unique(dim):
             mine = np.flatnonzero(dim == d)
             x = _units(rows["embedding"].to_numpy()[mine])
+            signs = _signs(x, number)[0]
+            # The neighbour behind the window, if it is of the same label.
+            beyond = np.searchsorted(rank[mine], rank[mine] + window)
+            whole = beyond < len(mine)
+            beyond = np.where(whole & (label[mine[np.minimum(beyond, len(mine) - 1)]] == label[mine]), beyond, -1)
+            own = rank[mine] // block == key[1]
+            missed[mine[own]] = np.log1p(-np.minimum(_chance(signs, beyond, cosine)[own], 1 - 1e-12))
             for a in range(0, len(mine), 256):
                 left, right = mine[a : a + 256], mine[a:]
                 near = np.searchsorted(rank[right], rank[left[-1]] + window, "right")
@@ -166,14 +190,14 @@ def _compare_block(cosine: float, window: int, block: int, crowd: int):
                         parent[max(u, v)] = min(u, v)
         tree = np.array([reps[root(i)] for i in range(n)], np.int64)
         crowded = np.maximum(after, ahead) >= crowd
-        some = (links > 0) | (tree != reps) | crowded
-        return pd.DataFrame({"rep": reps[some], "label": label[some], "links": links[some], "tree": tree[some], "crowded": crowded[some]})
+        some = (links > 0) | (tree != reps) | crowded | (missed < 0)
+        return pd.DataFrame({"rep": reps[some], "label": label[some], "links": links[some], "tree": tree[some], "crowded": crowded[some], "missed": missed[some]})
 
     return compare
 
 
 def _in_windows(active: DataFrame, cosine: float) -> DataFrame:
-    """``(rep, label, links, tree, crowded)``: what all passes over ``active`` find."""
+    """``(rep, label, links, tree, crowded, missed)``: what all passes over ``active`` find."""
     largest = active.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     ranks = _ranked(_keys(active, passes_for(largest, cosine)))
     # A vector goes to its block in every pass, and as a neighbour to the block before.
@@ -182,7 +206,7 @@ def _in_windows(active: DataFrame, cosine: float) -> DataFrame:
     block = F.floor(F.col("rank") / BLOCK)
     halo = (F.col("rank") % BLOCK < WINDOW) & (block > 0)
     blocks = blocks.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
-    schema = f"rep long, label {dict(active.dtypes)['label']}, links long, tree long, crowded boolean"
+    schema = f"rep long, label {dict(active.dtypes)['label']}, links long, tree long, crowded boolean, missed double"
     return stored(blocks.groupBy("pass", "block").applyInPandas(_compare_block(cosine, WINDOW, BLOCK, CROWD), schema), "found")
 
 
@@ -309,7 +333,9 @@ def near_duplicates(vectors: DataFrame, columns: tuple[str, str, str] = ("vec_id
     found, active = None, classes
     while active is not None:
         passed = _in_windows(active, cosine)
-        crowded = passed.filter("crowded").select("rep", "label").distinct()
+        # In a pass a vector accounts once, in its own block.
+        account = passed.groupBy("rep").agg(F.first("label").alias("label"), F.max("crowded").alias("crowded"), F.sum("missed").alias("missed"))
+        crowded = account.filter(F.col("crowded") | (F.col("missed") > math.log(UNSURE))).select("rep", "label")
         if crowded.isEmpty():
             part, active = passed.select("rep", "links", "tree"), None
         else:

@@ -492,6 +492,29 @@ def test_crowded_vectors(spark, monkeypatch):
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(linked[k].sum()) - 1, component[i]) for k, i in enumerate(ids)}
 
 
+def test_dense_label(spark, monkeypatch):
+    """Vectors that all share most signs while few of them link: at least nine of ten links are found, and none too many."""
+    monkeypatch.setattr(vectors, "WINDOW", 32)
+    monkeypatch.setattr(vectors, "BLOCK", 128)
+    monkeypatch.setattr(vectors, "CELL", 500)
+    rng = np.random.default_rng(16)
+
+    def around(units, cosine):
+        aside = rng.standard_normal(units.shape)
+        aside -= (aside * units).sum(axis=1, keepdims=True) * units
+        return cosine * units + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+
+    middle = np.eye(64)[:1]
+    base = around(np.repeat(middle, 3000, 0), np.sqrt(0.87))
+    x = np.concatenate([base, around(base[:150], 0.95), rng.standard_normal((500, 64))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in vectors.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= vectors.COSINE).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum() and links.sum() > 300 and links.max() < 64
+
+
 def test_packing(corpus):
     df, rows = corpus
     out = packing.query(df).collect()
