@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,3 +103,20 @@ def batches_of(rows: Iterable, limit: int, weight) -> Iterator[list]:
         total += w
     if held:
         yield held
+
+
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``function`` over the batches of a task; what it has freed goes back to the system at the end.
+
+    Workers live on from task to task, and would keep the most that any task has needed.
+    """
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        # Only some C libraries have it.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run

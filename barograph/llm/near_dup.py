@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barograph.llm import textbytes
-from barograph.llm.common import release, stored
+from barograph.llm.common import lean, release, stored
 from barograph.llm.components import components
 
 ROWS = 2
@@ -33,7 +33,7 @@ GROUP = 9
 HUBS = 2
 #: Longs of the bitmap of a set.
 BITMAP = 16
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, tail: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
     docs = docs.drop("n_shingles", "component_id", "kept")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n long, k1 long, k2 long, hashes array<long>, bitmap array<long>"
-    sketched = stored(ids.mapInArrow(_sketch(words, tail, rows, group), schema), "sketches")
+    sketched = stored(ids.mapInArrow(lean(_sketch(words, tail, rows, group)), schema), "sketches")
     key = ["n", "k1", "k2"]
     usable = sketched.filter("n > 0 and doc_id is not null")
     classes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("hashes").alias("hashes"), F.first("bitmap").alias("bitmap")), "classes")
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
         """The links among ``pairs`` (a, b)."""
         first = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         both = first.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, tail, percent), "a long, b long")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify(words, tail, percent)), "a long, b long")
 
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long")
