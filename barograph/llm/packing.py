@@ -18,22 +18,27 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barograph.llm.common import batches_of, numbered, shuffle_partitions, stored
+from barograph.llm import textbytes
+from barograph.llm.common import numbered, shuffle_partitions, stored
 
 CAPACITY = 2048
 #: Tokens that a final bin may lack.
 SLACK = 16
-#: Tasks whose underfull bins one task of the next round takes, and the bins it takes if there are as many.
+#: Tasks whose underfull bins one task of the next round takes, the bins it takes if there are as many, and at most.
 FAN_IN = 8
 LEAST = 512
+MOST = 4096
+#: With more bins than one task takes, rounds end when they save a smaller share of them.
+GAIN = 0.01
 #: Words whose tokens a worker remembers, beside those of the texts at hand.
 REMEMBERED = 600_000
-#: Characters of the texts that are split at a time; a longer text is alone.
-CHUNK = 1 << 20
+#: Bytes of the texts that are split at a time; a longer text is alone.
+CHUNK = 1 << 22
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -43,54 +48,75 @@ class WordIds(dict):
     White space always ends a token of this tokenizer, so the ids of a text are
     those of its words in turn. Latin letters are read in lower case and a closing
     comma or full stop apart from them, so one stem serves several words. Stems that
-    are not remembered yet are tokenised together, with ``BETWEEN`` between them.
+    are not remembered yet are tokenised together: a token that closes a run of
+    letters says so in its name, and other words have ``BETWEEN`` between them.
     """
 
-    #: A word of one token, by which the ids of many stems are told apart.
+    #: A word of one token, by which the ids of words that are not letters alone are told apart.
     BETWEEN = "~"
 
     def __init__(self, name: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         (self.between,) = self.ids_of([self.BETWEEN])[0]
-        self.mark = {m: self.ids_of([m])[0].tobytes() for m in (".", ",")}
+        self.mark = {m.encode(): self.ids_of([m])[0].tobytes() for m in (".", ",")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, stems: list[str]) -> list[bytes]:
-        joined = self.ids_of([f" {self.BETWEEN} ".join(stems)])[0]
+    def encode_letters(self, stems: list[bytes]) -> list[bytes]:
+        """Ids of each stem; stems are runs of letters, so each is closed by one token."""
+        joined = self.ids_of([b" ".join(stems).decode()])[0]
+        ends = np.flatnonzero(self.closes[joined]) + 1
+        if len(ends) != len(stems):
+            return self.encode(stems)
+        raw, end = joined.tobytes(), (4 * ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *end], end)]
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        joined = self.ids_of([f" {self.BETWEEN} ".join(texts)])[0]
         at = np.flatnonzero(joined == self.between)
-        if len(at) != len(stems) - 1:
-            # Some stem has that token itself.
-            return [x.tobytes() for x in self.ids_of(stems)]
+        if len(at) != len(texts) - 1:
+            # Some word has that token itself.
+            return [x.tobytes() for x in self.ids_of(texts)]
         raw, begin, end = joined.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(joined)]
         return [raw[i:j] for i, j in zip(begin, end)]
 
-    def stem(self, word: str) -> tuple[str, bytes]:
-        """What stands for the word, and the ids of the mark that closes it."""
-        tail = self.mark.get(word[-1], b"")
-        body = word[:-1] if tail else word
+    def stem(self, word: bytes) -> bytes | None:
+        """The letters of the word, but for a mark that closes it, in lower case; none for other words."""
+        body = word[:-1] if word[-1:] in self.mark else word
+        if body.isalpha():
+            return body.lower()
+        if body.isascii():
+            return None
         # Beyond Latin, or where lower case adds a combining sign, letters may not stay letters.
-        if body and max(body) < "\u0250" and (lower := body.lower()).isalpha():
-            return lower, tail
-        return word, b""
-
-    def learn(self, words: set[bytes]) -> None:
-        """Remember the ids of ``words``; older ones are forgotten when there are too many."""
-        new = words.difference(self)
+        text = body.decode()
+        if max(text) < "\u0250" and (lower := text.lower()).isalpha():
+            return lower.encode()
+        return None
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of ``words``, all different; older ones are forgotten when there are too many."""
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = words
-        stems = {w: self.stem(w.decode()) for w in new}
-        known = {stem: self.get(stem.encode()) for stem, _ in stems.values()}
-        plain = [stem for stem, ids in known.items() if ids is None and self.BETWEEN not in stem]
-        marked = [stem for stem, ids in known.items() if ids is None and self.BETWEEN in stem]
-        if plain:
-            known.update(zip(plain, self.encode(plain)))
-        if marked:
-            known.update(zip(marked, (x.tobytes() for x in self.ids_of(marked))))
-        self.update((w, known[stem] + tail) for w, (stem, tail) in stems.items())
+        stems = list(map(self.stem, new))
+        # A word that is its own stem is new itself.
+        letters = {w for w, s in zip(new, stems) if s == w}
+        letters |= {s for w, s in zip(new, stems) if s and s != w and s not in self}
+        between = self.BETWEEN.encode()
+        others = [w for w, s in zip(new, stems) if not s]
+        plain, marked = [w for w in others if between not in w], [w for w in others if between in w]
+        for some, encode in ((list(letters), self.encode_letters), (plain, self.encode)):
+            if some:
+                self.update(zip(some, encode(some)))
+        self.update((w, self.ids_of([w.decode()])[0].tobytes()) for w in marked)
+        self.update((w, self[s] + self.mark.get(w[-1:], b"")) for w, s in zip(new, stems) if s and s != w)
 
 
 @functools.cache
@@ -100,13 +126,21 @@ def word_ids(name: str) -> WordIds:
     return WordIds(name)
 
 
-def token_bytes(texts: list[str | None], known: WordIds) -> Iterator[bytes]:
+def token_bytes(texts: pa.Array, known: WordIds) -> Iterator[bytes]:
     """Ids of each text and the closing id 0, four bytes each."""
-    for some in batches_of(texts, CHUNK, lambda text: len(text or "")):
-        split = [(text or "").encode().split() for text in some]
-        known.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets = textbytes.flat(texts)
+    for a, b in textbytes.slices(offsets, CHUNK):
+        words = pc.ascii_split_whitespace(texts.slice(a, b - a))
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known.learn(different)
+        ids = pa.array(map(known.__getitem__, different), pa.large_binary()).take(coded.indices)
+        data, ends = textbytes.flat(ids)
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        raw = data.tobytes()
+        for i, j in zip(bounds, bounds[1:]):
+            yield raw[i:j] + b"\0\0\0\0"
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> tuple[list[int], int]:
@@ -173,7 +207,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
         step = 4 * capacity
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), known)):
+            for doc, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1), known)):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -192,15 +226,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
 
     bins = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_and_pack, BIN), "bins")
     full = f"fill >= {capacity - SLACK}"
-    done, tasks = bins.filter(full), shuffle_partitions(spark) * FAN_IN
+    done, tasks, rounds = bins.filter(full), shuffle_partitions(spark) * FAN_IN, 0
     while True:
         under = bins.filter(f"not ({full})")
-        tasks = min(max(1, tasks // FAN_IN), max(1, math.ceil(under.count() / LEAST)))
-        # The first piece names a bin; its hash decides the task, so a repeated task sees the same bins.
+        taken, rounds = under.count(), rounds + 1
+        bound = max(1, math.ceil(taken / MOST))
+        tasks = max(bound, min(tasks // FAN_IN, math.ceil(taken / LEAST)))
+        # The first piece names a bin; its hash decides the task, so a repeated task sees the same bins,
+        # and those of one task part in the next round.
         first = F.element_at("pieces", 1)
-        dealt = under.repartition(tasks, F.xxhash64(first["doc_id"], first["piece"]))
+        dealt = under.repartition(tasks, F.xxhash64(F.lit(rounds), first["doc_id"], first["piece"]))
         bins = stored(dealt.mapInArrow(merge, BIN), "merged")
-        if tasks == 1:
+        if tasks == 1 or (tasks == bound and bins.count() > (1 - GAIN) * taken):
             break
         done = done.union(bins.filter(full))
     done = done.union(bins)

@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -26,6 +27,7 @@ from barograph.llm import (
     toxicity,
     vectors,
 )
+from barograph.llm.common import stored
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -539,8 +541,19 @@ def test_special_words_are_tokenised_whole():
     known = packing.WordIds(packing.TOKENIZER)
     texts = ["It's 12.5% of <|endoftext|> café́ ÉCOLE, İstanbul İ, ΣΑΣ. a b\x1cc d don't.", "x,", ".,", "日本語 テスト。", "A.B. C,", None, "~ a~ ~~ B~,", "état. ÉTAT, État"]
     want = [np.array([*known.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
-    assert list(packing.token_bytes(texts, known)) == want
-    assert [next(packing.token_bytes([t], packing.word_ids(packing.TOKENIZER))) for t in texts] == want
+    assert list(packing.token_bytes(pa.array(texts), known)) == want
+    assert [next(packing.token_bytes(pa.array([t], pa.string()), packing.word_ids(packing.TOKENIZER))) for t in texts] == want
+
+
+def test_packing_bounds_every_task(spark, monkeypatch):
+    # No two of these documents share a sequence, so no round saves one, however many bins a task takes.
+    rng = random.Random(5)
+    rows = [(i, "a " * rng.randrange(1100, 1900)) for i in range(600)]
+    monkeypatch.setattr(packing, "MOST", 64)
+    tasks = []
+    monkeypatch.setattr(packing, "stored", lambda df, purpose: tasks.append(df.rdd.getNumPartitions()) or stored(df, purpose))
+    out = packing.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.sequence_id for r in out}) == len(out) == 600 and tasks[-1] == 10
 
 
 @pytest.mark.parametrize("run", [near_dup.query, sharding.query, repeats_bwt.query, repeats_fm.query, secrets.query, pii.query, packing.query])
