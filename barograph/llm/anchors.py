@@ -13,9 +13,15 @@ a *segment* of at most ``2 * length - gram`` symbols:
    to shards of bounded size, where the caller's solver finds which of their
    windows occur earlier;
 4. an anchor with more than ``VARIANTS`` variants, such as one inside a line that
-   a third of all documents hold, would not fit a shard's share. Its windows are
-   reduced to their first occurrences by hash, with partial aggregation before
-   the shuffle, under the key (anchor, place, window).
+   a third of all documents hold, would not fit a shard's share. Its variants are
+   cut into *parts*, the windows whose anchor stands at one of ``WIDTHS`` places.
+   Equal windows lie in parts that agree in the symbols all windows of such a part
+   hold, so parts meet by these alone. Equal parts are covered by their first at
+   once; the others go to shards, or, where still too many, are cut again, at last
+   to single windows, which are equal if they meet.
+
+Anchors, variants and parts that hold a thousandth of all rows or more meet by a
+broadcast; there are fewer than a thousand of them, whatever the input.
 
 Symbols are bytes or hashes of words; a unit object says how a text becomes
 symbols. Texts are processed whole.
@@ -23,6 +29,7 @@ symbols. Texts are processed whole.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -36,6 +43,10 @@ from barograph.llm.common import release, shuffle_partitions, stored
 
 #: Variants of one anchor that a shard takes.
 VARIANTS = 200
+#: Places of the anchor that one part covers, cut after cut.
+WIDTHS = (16, 4, 1)
+#: Keys with more than this share of a table's rows are broadcast.
+HOT_SHARE = 1e-3
 CHUNK = 1 << 20
 PLACE_BITS = np.uint64(24)
 KEY = ["h", "sh", "off", "len"]
@@ -172,29 +183,66 @@ def _contents(wanted: DataFrame, unit) -> DataFrame:
     return wanted.select("doc_id", "text", "segments").mapInArrow(cut, schema)
 
 
-def _windows(variants: DataFrame, length: int, width: int) -> DataFrame:
-    """Every window of the variants: its key (anchor, place, hash) and where it starts."""
+def _parts_of(parts: DataFrame, length: int, gram: int, size: int, width: int) -> DataFrame:
+    """Parts of ``parts`` whose windows have their anchor at one of ``width`` places.
+
+    Adds ``at`` (anchor in the part), ``n`` (symbols) and ``c`` (hash of them); ``g``
+    becomes the hash of what all windows of such a part have in common.
+    """
 
     def cut(batches):
         for batch in batches:
-            get = {c: batch.column(batch.schema.get_field_index(c)) for c in (*KEY, "lo", "doc_id", "content")}
-            sizes = get["len"].to_numpy().astype(np.int64)
-            raw = np.frombuffer(b"".join(get["content"].to_pylist()), np.uint8 if width == 1 else np.uint64)
-            symbols = textbytes.letters(False)[raw] if width == 1 else raw
+            get = {c: batch.column(batch.schema.get_field_index(c)) for c in (*KEY, "rel", "lo", "doc_id", "content")}
+            pieces = get.pop("content").to_pylist()
+            get = {c: v.to_numpy() for c, v in get.items()}
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // size
+            raw = b"".join(pieces)
+            symbols = textbytes.letters(False)[np.frombuffer(raw, np.uint8)] if size == 1 else np.frombuffer(raw, np.uint64)
             first = np.cumsum(sizes) - sizes
-            many = sizes - length + 1
+            anchor = get["off"].astype(np.int64) - get["rel"]
+            # The anchor stands furthest right in the first window.
+            least, most = anchor - (sizes - length), anchor
+            many = most // width - least // width + 1
             row = np.repeat(np.arange(len(sizes)), many)
-            rel = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            start = first[row] + rel
-            hashes = textbytes.range_hash(textbytes.prefix_sums(symbols), start, start + length)
-            columns = {c: get[c].to_numpy()[row] for c in (*KEY, "lo", "doc_id")}
-            place = (rel - columns["off"]).astype(np.int32)
+            low = (least // width)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            low *= width
+            high = np.minimum(low + width - 1, length - gram)
+            at = np.minimum(high, most[row])
+            start = anchor[row] - at
+            end = anchor[row] - np.maximum(low, least[row]) + length
+            total, base = textbytes.prefix_sums(symbols), first[row]
+            shared = textbytes.range_hash(total, base + anchor[row] - low, base + anchor[row] - high + length)
+            content = textbytes.range_hash(total, base + start, base + end)
+            columns = {c: get[c][row] for c in (*KEY, "doc_id")}
             yield pa.RecordBatch.from_pydict(
-                {**columns, "rel": rel.astype(np.int32), "place": place, "w": hashes.view(np.int64)}
+                {
+                    **columns,
+                    "rel": (get["rel"][row] + start).astype(np.int32),
+                    "lo": get["lo"][row] + start,
+                    "g": textbytes.mix(shared + low.astype(np.uint64)).view(np.int64),
+                    "at": at.astype(np.int32),
+                    "n": (end - start).astype(np.int32),
+                    "c": content.view(np.int64),
+                    "content": pa.array(
+                        [raw[size * i : size * j] for i, j in zip((base + start).tolist(), (base + end).tolist())], pa.binary()
+                    ),
+                }
             )
 
-    schema = "h long, sh long, off int, len int, lo long, doc_id long, rel int, place int, w long"
-    return variants.mapInArrow(cut, schema)
+    schema = "h long, sh long, off int, len int, doc_id long, rel int, lo long, g long, at int, n int, c long, content binary"
+    return parts.mapInArrow(cut, schema)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """``left`` and ``right`` joined on ``keys``, where ``right`` has a row per key and its ``rows`` in ``left``.
+
+    Keys above ``HOT_SHARE`` of these rows, by their sum fewer than its inverse, are
+    broadcast and so stay where they are; only the others are shuffled.
+    """
+    limit = (right.agg(F.sum(rows)).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(right.filter(F.col(rows) > limit))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col(rows) <= limit), keys)
+    return rest.unionByName(left.join(hot, keys))
 
 
 def covered_runs(flags: np.ndarray, rows: np.ndarray, rel: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,25 +270,46 @@ def repeated_ranges(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    anchors = _segments(texts, unit, length, gram)
-    seen = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")]
-    counted = anchors.groupBy("h").agg(*(seen[1:] if across else seen[:1]))
-    shared = counted.filter("least < greatest" if across else "n > 1").select("h")
-    per_doc = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    anchors = stored(_segments(texts, unit, length, gram), "anchors")
+    seen = [F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")]
+    counted = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(seen if across else []))
+    shared = stored(counted.filter("least < greatest" if across else "n > 1").select("h", "n"), "shared")
+    per_doc = spread_join(anchors, shared, ["h"], "n").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     marked = stored(texts.join(per_doc, "doc_id"), "marked")
+    release(anchors, shared)
     segments = stored(_shared_segments(marked, unit, length, gram), "segments")
 
     first = F.min(F.struct("doc_id", "lo")).alias("first")
     groups = stored(segments.groupBy(*KEY).agg(first, F.count(F.lit(1)).alias("n")), "variants")
     variants = groups.groupBy("h").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
-    several = groups.join(variants, "h").select(*KEY, "variants", "first.*")
+    variants = stored(variants, "anchor_variants")
+    several = spread_join(groups.select(*KEY, "first.*"), variants, ["h"], "variants").drop("variants")
     # The list of one document is at most as long as its text.
     lists = several.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY, "lo")).alias("segments"))
     contents = stored(_contents(marked.select("doc_id", "text").dropDuplicates(["doc_id"]).join(lists, "doc_id"), unit), "contents")
     release(marked)
-    variant_contents, contents = contents, contents.join(variants, "h")
-
-    size = contents.filter(f"variants <= {VARIANTS}").agg(F.sum("len")).first()[0] or 0
+    steps = [variants, contents]
+    parts = contents.select("*", F.lit(0).alias("rel"), F.col("h").alias("g"))
+    sizes, solvable, behind = variants.withColumnRenamed("h", "g"), [], []
+    for width in WIDTHS:
+        solvable.append(spread_join(parts, sizes.filter(F.col("variants").between(2, VARIANTS)), ["g"], "variants"))
+        crowded = sizes.filter(F.col("variants") > VARIANTS)
+        if crowded.isEmpty():
+            break
+        parts = stored(_parts_of(spread_join(parts, crowded, ["g"], "variants"), length, gram, unit.width, width), "parts")
+        same, here = ["g", "at", "n", "c"], F.struct("doc_id", "lo")
+        earliest = stored(parts.groupBy(*same).agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("rows")), "earliest")
+        later = F.col("earliest.doc_id") < F.col("doc_id") if across else F.col("earliest") < here
+        told = stored(spread_join(parts, earliest, same, "rows").withColumn("later", later).drop("earliest", "rows"), "told")
+        release(parts, earliest)
+        behind.append(told.filter("later").select(*KEY, F.col("rel").alias("s"), (F.col("rel") + F.col("n")).alias("e")))
+        parts = told.filter("not later").select(*KEY, "doc_id", "rel", "lo", "g", "content")
+        sizes = stored(parts.groupBy("g").agg(F.count(F.lit(1)).alias("variants")), "part_variants")
+        steps += [told, sizes]
+    # Single windows that meet are equal: none is left to compare.
+    columns = [*KEY, "doc_id", "rel", "lo", "g", "content"]
+    wanted = functools.reduce(DataFrame.union, [x.select(*columns) for x in solvable])
+    size = (wanted.agg(F.sum(F.length("content"))).first()[0] or 0) // unit.width
     shards = max(math.ceil(size / shard_symbols), shuffle_partitions(spark))
     ranges_type = "array<struct<s:int,e:int>>"
 
@@ -251,42 +320,32 @@ def repeated_ranges(
         )
         at = pa.array(rows)
         columns = {c: table.column(c).combine_chunks().take(at) for c in KEY}
-        return pa.table({**columns, "s": start.astype(np.int32), "e": end.astype(np.int32)})
+        rel = table.column("rel").to_numpy()[rows]
+        return pa.table({**columns, "s": (rel + start).astype(np.int32), "e": (rel + end).astype(np.int32)})
 
     solved = (
-        contents.filter(f"variants <= {VARIANTS}")
-        .select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), *KEY, "doc_id", "lo", "content")
+        wanted.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int"))
         .groupBy("shard")
         .applyInArrow(solve_shard, "h long, sh long, off int, len int, s int, e int")
     )
-    windows = stored(_windows(contents.filter(f"variants > {VARIANTS}").drop("variants"), length, unit.width), "windows")
-    place = ["h", "place", "w"]
-    earliest = windows.groupBy(*place).agg(
-        F.min(F.struct("doc_id", (F.col("lo") + F.col("rel")).alias("at"))).alias("earliest"), F.count(F.lit(1)).alias("n")
-    )
-    here = F.struct(F.col("doc_id"), (F.col("lo") + F.col("rel")).alias("at"))
-    earlier = F.col("earliest.doc_id") < F.col("doc_id") if across else F.col("earliest") < here
-    common = (
-        windows.join(earliest.filter("n > 1"), place)
-        .filter(earlier)
-        .select(*KEY, F.col("rel").alias("s"), (F.col("rel") + length).alias("e"))
-    )
-    partial = solved.union(common).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).cast(ranges_type).alias("part"))
+    covered = functools.reduce(DataFrame.union, behind, solved)
+    partial = covered.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).cast(ranges_type).alias("part"))
     partial = stored(partial, "partial")
-    release(variant_contents, windows)
-    known = groups.join(partial, KEY, "left").filter("n > 1 or part is not null")
+    release(*steps)
+    known = stored(groups.join(partial, KEY, "left").filter("n > 1 or part is not null"), "known")
+    release(groups, partial)
     is_first = (F.col("first.doc_id") == F.col("doc_id")) if across else (F.col("first") == F.struct("doc_id", "lo"))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("len").alias("e"))).cast(ranges_type)
     ranges = F.when(is_first, F.coalesce("part", F.array().cast(ranges_type))).otherwise(whole)
     moved = F.transform(ranges, lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e")))
     ranges = stored(
-        segments.join(known, KEY)
+        spread_join(segments, known, KEY, "n")
         .select("doc_id", F.explode(moved).alias("range"))
         .groupBy("doc_id")
         .agg(F.collect_list("range").alias("ranges")),
         "ranges",
     )
-    release(segments, groups, partial)
+    release(segments, known)
     return ranges
 
 
