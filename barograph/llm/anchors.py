@@ -183,6 +183,32 @@ def _contents(wanted: DataFrame, unit) -> DataFrame:
     return wanted.select("doc_id", "text", "segments").mapInArrow(cut, schema)
 
 
+def place_ranges(
+    anchor: np.ndarray, sizes: np.ndarray, length: int, gram: int, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, least and greatest place of each range of ``width`` places that the anchor takes in a part's windows."""
+    # It stands furthest right in the first window.
+    least = (anchor - (sizes - length)) // width
+    many = anchor // width - least + 1
+    row = np.repeat(np.arange(len(sizes)), many)
+    low = (least[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * width
+    return row, low, np.minimum(low + width - 1, length - gram)
+
+
+def may_share(contents: list[bytes], anchor: np.ndarray, length: int, gram: int, size: int) -> np.ndarray:
+    """Which parts agree with another one in what all windows of half the places hold; others share no window."""
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents)) // size
+    raw = b"".join(contents)
+    symbols = textbytes.letters(False)[np.frombuffer(raw, np.uint8)] if size == 1 else np.frombuffer(raw, np.uint64)
+    row, low, high = place_ranges(anchor, sizes, length, gram, -(-(length - gram + 1) // 2))
+    at = (np.cumsum(sizes) - sizes + anchor)[row]
+    held = textbytes.range_hash(textbytes.prefix_sums(symbols), at - low, at - high + length)
+    _, which, times = np.unique(textbytes.mix(held + low.astype(np.uint64)), return_inverse=True, return_counts=True)
+    out = np.zeros(len(contents), bool)
+    out[row[times[which] > 1]] = True
+    return out
+
+
 def _parts_of(parts: DataFrame, length: int, gram: int, size: int, width: int) -> DataFrame:
     """Parts of ``parts`` whose windows have their anchor at one of ``width`` places.
 
@@ -200,16 +226,10 @@ def _parts_of(parts: DataFrame, length: int, gram: int, size: int, width: int) -
             symbols = textbytes.letters(False)[np.frombuffer(raw, np.uint8)] if size == 1 else np.frombuffer(raw, np.uint64)
             first = np.cumsum(sizes) - sizes
             anchor = get["off"].astype(np.int64) - get["rel"]
-            # The anchor stands furthest right in the first window.
-            least, most = anchor - (sizes - length), anchor
-            many = most // width - least // width + 1
-            row = np.repeat(np.arange(len(sizes)), many)
-            low = (least // width)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            low *= width
-            high = np.minimum(low + width - 1, length - gram)
-            at = np.minimum(high, most[row])
+            row, low, high = place_ranges(anchor, sizes, length, gram, width)
+            at = np.minimum(high, anchor[row])
             start = anchor[row] - at
-            end = anchor[row] - np.maximum(low, least[row]) + length
+            end = np.minimum(anchor[row] - low + length, sizes[row])
             total, base = textbytes.prefix_sums(symbols), first[row]
             shared = textbytes.range_hash(total, base + anchor[row] - low, base + anchor[row] - high + length)
             content = textbytes.range_hash(total, base + start, base + end)
@@ -313,7 +333,13 @@ def repeated_ranges(
     shards = max(math.ceil(size / shard_symbols), shuffle_partitions(spark))
     ranges_type = "array<struct<s:int,e:int>>"
 
+    out = pa.schema([("h", pa.int64()), ("sh", pa.int64()), *((c, pa.int32()) for c in ("off", "len", "s", "e"))])
+
     def solve_shard(table: pa.Table) -> pa.Table:
+        anchor = table.column("off").to_numpy().astype(np.int64) - table.column("rel").to_numpy()
+        table = table.filter(pa.array(may_share(table.column("content").to_pylist(), anchor, length, gram, unit.width)))
+        if not table.num_rows:
+            return out.empty_table()
         table = table.sort_by([("doc_id", "ascending"), ("lo", "ascending"), ("h", "ascending")])
         rows, start, end = solve(
             table.column("content").to_pylist(), table.column("doc_id").to_numpy(), table.column("lo").to_numpy()
