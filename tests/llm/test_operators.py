@@ -517,6 +517,15 @@ def test_dense_label(spark, monkeypatch):
     assert (found <= links).all() and found.sum() >= 0.9 * links.sum() and links.sum() > 300 and links.max() < 64
 
 
+@pytest.mark.parametrize("query", [repeats_bwt.query, repeats_fm.query])
+def test_shared_anchors_without_shared_windows(spark, query):
+    rng = random.Random(1)
+    run = " ".join(f"r{i}" for i in range(12))
+    rows = [(i, " ".join([*words(rng, 60, 10**6), run, *words(rng, 60, 10**6)])) for i in range(6)]
+    got = query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0] * 6
+
+
 def test_packing(corpus):
     df, rows = corpus
     out = packing.query(df).collect()
