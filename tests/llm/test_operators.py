@@ -241,6 +241,37 @@ def test_thresholds_see_the_true_share_of_classes(spark, monkeypatch):
     assert abs(toxicity.train(rows, language, marks, totals).thresholds[0] - 0.1) < 0.01
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """More documents, and longer ones, than a trial sample has; several shards."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 3)
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    rng = random.Random(16)
+    rows = []
+    for i in range(200):
+        w = words(rng, 2100, 300)
+        if i % 4 == 0:
+            w[rng.randrange(2100)] = "vile"
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(999, 1), (3, 1)], "doc_id long, toxic int")
+    teaching = {i: y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 and i != 3}
+    known = toxicity.labelled(docs, labels, toxicity.in_training)
+    assert {r._doc: r._toxic for r in known.collect()} == teaching
+    for toxic in (0, 1):
+        assert sorted(r._place for r in known.filter(f"_toxic = {toxic}").collect()) == list(range(sum(y == toxic for y in teaching.values())))
+    row = int(toxicity._hash_words("vile")[0]) & (toxicity.TABLE - 1)
+    assert toxicity._counted(known)[:, row].tolist() == [0, sum(teaching.values())]
+    got = by_id(toxicity.query(docs, labels))
+    assert sum(got[i].predicted == y for i, _, y in rows) >= 0.95 * len(rows)
+    assert by_id(toxicity.query(docs.repartition(5), labels.repartition(3)))[1].score == pytest.approx(got[1].score, rel=1e-4)
+
+
+def test_equal_logits_are_on_one_side():
+    logits, toxic = np.array([2.0, 1.0, 1.0, 0.0]), np.array([1, 0, 1, 0])
+    assert toxicity._threshold(logits, toxic, np.array([1, 1, 5, 9])) == 0.5
+    assert toxicity._threshold(logits, toxic, np.array([9, 9, 1, 9])) == 1.5
+
+
 def test_toxicity_without_labels(spark, corpus):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.query(corpus[0], labels).collect()} == {0}
