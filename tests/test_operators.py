@@ -90,6 +90,19 @@ def test_planted_topics_are_found(spark):
         keywords.fit_topics(df.limit(0), F.col("tokens"))
 
 
+def test_topics_make_tokens_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(text):
+        made.add(1)
+        return text.split()
+
+    df = spark.createDataFrame([(f"river w{i % 7} w{i % 3}",) for i in range(40)], "text string")
+    keywords.fit_topics(df, tokens("text"), k=2, max_iter=3, partitions=2)
+    assert made.value == 40
+
+
 def test_process_alerts_with_minimal_columns(spark):
     raw = spark.createDataFrame(
         [("1", "Flood WARNING", "River at 5 feet!", "soon", "2024-03-04 05:06:07"), ("2", None, None, "2024-03-05", "x")],
