@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,28 @@ def test_topics_make_tokens_once(spark):
     assert made.value == 40
 
 
+def test_tfidf_of_frequent_and_other_terms(spark, monkeypatch):
+    """Frequent terms are met by broadcast, others by a shuffle; ids and tokens repeat or are null."""
+    rng = random.Random(4)
+    texts = [[f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randrange(30))] for _ in range(200)] + [None, [], [None, "w1", "w1"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>")
+    count = Counter(w for t in texts for w in {*(t or ())} - {None})
+    want = set()
+    for i, t in enumerate(texts):
+        scores = {w: n * (math.log((1 + len(texts)) / (1 + count[w])) + 1) for w, n in Counter(t or ()).items() if w is not None}
+        want |= {(i, k, w) for k, w in enumerate(sorted(scores, key=lambda w: (-round(scores[w], 9), w))[:3], 1)}
+    for share in (0.02, 1e-9, 1.0):
+        monkeypatch.setattr(keywords, "FREQUENT", share)
+        got = keywords.tfidf_top(df, F.col("tokens"), "id")
+        assert {(r["id"], r["rank"], r["term"]) for r in got.collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = keywords.tfidf_top(df, F.col("tokens"), "id")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
 def test_process_alerts_with_minimal_columns(spark):
     raw = spark.createDataFrame(
         [("1", "Flood WARNING", "River at 5 feet!", "soon", "2024-03-04 05:06:07"), ("2", None, None, "2024-03-05", "x")],
