@@ -201,7 +201,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
 
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long")
-    links = spark.createDataFrame([], "a long, b long")
     bits = [f"bits{i}" for i in range(BITMAP)]
     side = ["rep", "n", "component", *bits]
     maps = classes.select("rep", *[F.col("bitmap")[i].alias(c) for i, c in enumerate(bits)])
@@ -223,8 +222,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tail: bo
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if not turn or not pairs.isEmpty():
-            tested, links = tested.union(pairs), links.union(stored(verified(pairs), "confirmed"))
-            labels = components(links)
+            tested, links = tested.union(pairs), stored(verified(pairs), "confirmed")
+            # What is known already enters as the stars it was left as.
+            labels = components(links if labels is None else links.union(labels.select("node", "component")))
         if turn < HUBS:
             named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")

@@ -90,6 +90,26 @@ def test_components(spark):
     assert got == roots(links, nodes)
 
 
+@pytest.mark.parametrize(
+    ("links", "rounds"),
+    [
+        ([], 0),
+        ([(1, 1), (None, 2)], 0),
+        ([(1, x) for x in range(2, 20)] + [(30, 31), (31, 30), (31, 31)], 0),
+        ([(5, 1), (5, 2)], 1),
+        ([(1, 2), (2, 3), (2, 2)], 1),
+    ],
+)
+def test_components_end_with_the_stars(spark, monkeypatch, links, rounds):
+    made = []
+    monkeypatch.setattr(components, "stored", lambda df, purpose: made.append(purpose) or stored(df, purpose))
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    linked = [(a, b) for a, b in links if None not in (a, b) and a != b]
+    assert got == roots(linked, {n for link in linked for n in link})
+    # No round is made only to see that nothing moves.
+    assert made.count("stars") == rounds
+
+
 
 def test_near_duplicates(corpus):
     df, rows = corpus
